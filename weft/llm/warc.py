@@ -82,6 +82,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     shared = materialize(shared.where("c > 1").select(F.col("d").alias("shared"), "first"), "shared-payloads")
     n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") + 600), F.lit(0))).first()
     revisits = keys.join(shared, keys["d"] == shared["shared"]).where((F.col("n") >= least_bytes) & (F.col("i") < F.col("first.i"))).select(F.col("i").alias("ri"), F.col("d").alias("rd"), "first").dropDuplicates(["ri", "rd"])
+    revisits = materialize(revisits, "revisits")  # its size tells Spark whether payloads must move to meet it
     per_file = max(1, int(n * file_bytes / max(total, 1)))
 
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -99,7 +100,6 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         )
 
     full = rows.withColumn("d", digest)
-    # the join carries whole payloads only as far as the write; revisits alone drop theirs
     kept = full.join(revisits, full["i"].eqNullSafe(revisits["ri"]) & (full["d"] == revisits["rd"]), "left")
     response = head("response", F.concat(http, payload))
     first = F.col("first")
