@@ -31,7 +31,7 @@ from weft.llm.words import Cache, characters, groups, letter_words
 
 ORDER, DISCOUNT = 6, 0.75
 #: Bits of a character in a gram's code, and slots of the tables of grams and of contexts.
-CHAR_BITS, GRAM_SLOTS, CONTEXT_SLOTS = 10, 22, 21
+CHAR_BITS, GRAM_SLOTS, CONTEXT_SLOTS = 10, 21, 20
 _FIELD = (1 << CHAR_BITS) - 1
 #: Of the labelled documents that may be learned from, one in so many only calibrates; the most of them that do.
 CALIBRATION_PART, CALIBRATION_DOCS = 4, 20_000
@@ -64,11 +64,11 @@ def _mask(order: int) -> int:
 
 
 def _slot(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, tag) of each code."""
+    """(slot, tag) of each code; a tag is never 0."""
     h = code.astype(np.uint64) * _PRIME
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), ((h >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int32)
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (((h >> np.uint64(8)) & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.int32)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,18 +139,28 @@ def kneser_ney(code: np.ndarray, counts: np.ndarray, bigrams: tuple[np.ndarray,
 
 
 @dataclass
-class Model:
-    """Slots of grams and contexts: tag (-1 empty) and log-ratio; then the logistic curve."""
+class Curve:
+    """From a text's features to its score."""
 
-    tags: tuple[np.ndarray, np.ndarray]
-    values: tuple[np.ndarray, np.ndarray]
     center: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        z = (features - self.center) / self.scale @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+@dataclass
+class Tables:
+    """Slots of grams and of contexts: tag (0 if empty) and log-ratio, four bytes a slot."""
+
+    tags: tuple[np.ndarray, np.ndarray]
+    values: tuple[np.ndarray, np.ndarray]
+
     def _look(self, kind: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot, tag = _slot(code, (GRAM_SLOTS, CONTEXT_SLOTS)[kind])
-        return self.tags[kind][slot] == tag, self.values[kind][slot]
+        return self.tags[kind][slot] == tag, self.values[kind][slot].astype(np.float32)
 
     def log_ratios(self, words: list[str]) -> np.ndarray:
         """(log-likelihood toxic less ordinary, characters) of each word."""
@@ -173,10 +183,6 @@ class Model:
             out[at : at + n, 1] = np.bincount(owner, minlength=n)
         return out
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        z = (features - self.center) / self.scale @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
 
 def text_features(words: list[str], rows: np.ndarray) -> list[float]:
     """Length-normalised log-ratios of a text from those of its words (FEATURES); zeros without words."""
@@ -203,11 +209,11 @@ def _features(texts: list[str | None], cache: Cache) -> np.ndarray:
     return np.array(out, float).reshape(-1, len(FEATURES))
 
 
-def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(center, scale, weights with the intercept last), by Newton's method; a single class gives its base rate."""
+def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> Curve:
+    """By Newton's method; a single class gives its base rate, no label a score of 0."""
     width = features.shape[1]
     if not len(labels):
-        return np.zeros(width), np.ones(width), np.append(np.zeros(width), -40.0)
+        return Curve(np.zeros(width), np.ones(width), np.append(np.zeros(width), -1e9))
     center, scale = features.mean(axis=0), features.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     x = np.column_stack([(features - center) / scale, np.ones(len(labels))])
@@ -219,7 +225,7 @@ def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return center, scale, w
+    return Curve(center, scale, w)
 
 
 def _group(key, table: pa.Table, shared) -> pa.Table:
@@ -238,8 +244,8 @@ def _group(key, table: pa.Table, shared) -> pa.Table:
     return pa.table({"kind": kind, "slot": slot.astype(np.int32), "tag": tag, "value": np.concatenate(values).astype(np.float32), "weight": np.concatenate(weights).astype(np.float64), "code": code})
 
 
-def train(labelled: DataFrame, key: str, text_col: str, label_col: str) -> Model:
-    """Models and curve from rows with a label of 0 or 1. Counts are of all of them but the part that calibrates."""
+def train(labelled: DataFrame, key: str, text_col: str, label_col: str):
+    """(tables, as a broadcast; curve) from rows with a label of 0 or 1. Counts are of all of them but the part that calibrates."""
     spark = labelled.sparkSession
     arrow_limits(spark)
     part = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(CALIBRATION_PART))
@@ -250,29 +256,26 @@ def train(labelled: DataFrame, key: str, text_col: str, label_col: str) -> Model
     grams = words.mapInArrow(_gram_counts, "code long, toxic long, ordinary long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = materialize(grams, "grams")
     # at most one row for each pair of characters, 2**20 of them
-    pairs = grams.groupBy(F.col("code").bitwiseAND(F.lit(_mask(2))).alias("c")).agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("n")).toPandas()
+    pairs = grams.groupBy(F.col("code").bitwiseAND(F.lit(_mask(2))).alias("c")).agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("n")).toArrow().to_pandas()
     shared = spark.sparkContext.broadcast(shared_bigrams(pairs["c"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)))
     before = F.shiftright("code", CHAR_BITS).bitwiseAND(F.lit(_mask(2)))
     made = grams.where(F.col("code") > _mask(2)).groupBy(before.alias("before")).applyInArrow(lambda k, t: _group(k, t, shared), "kind int, slot int, tag int, value float, weight double, code long")
     kept = made.groupBy("kind", "slot").agg(F.max(F.struct("weight", "code", "tag", "value")).alias("m")).select("kind", "slot", "m.tag", "m.value")
-    slots = kept.toPandas()  # at most one row for each slot
+    slots = kept.toArrow().to_pandas()  # at most one row for each slot
     tags, values = [], []
     for kind, bits in enumerate((GRAM_SLOTS, CONTEXT_SLOTS)):
         own = slots[slots["kind"] == kind]
-        tags.append(np.full(1 << bits, -1, np.int32))
-        values.append(np.zeros(1 << bits, np.float32))
+        tags.append(np.zeros(1 << bits, np.uint16))
+        values.append(np.zeros(1 << bits, np.float16))
         tags[-1][own["slot"].to_numpy()] = own["tag"].to_numpy()
         values[-1][own["slot"].to_numpy()] = own["value"].to_numpy()
-    width = len(FEATURES)
-    model = Model(tuple(tags), tuple(values), np.zeros(width), np.ones(width), np.zeros(width + 1))
     held = rows.where("part = 0")
     n = held.count()
     drawn = held.where(F.pmod("draw", F.lit(1_000_000)) / F.lit(1_000_000.0) < F.lit(min(1.0, CALIBRATION_DOCS / max(n, 1))))
-    handed = spark.sparkContext.broadcast(model)
-    seen = drawn.select("t", "toxic").mapInArrow(lambda it: _calibration(it, handed), "label double, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    handed = spark.sparkContext.broadcast(Tables(tuple(tags), tuple(values)))
+    seen = drawn.select("t", "toxic").mapInArrow(lambda it: _calibration(it, handed), "label double, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().to_pandas()
     seen = seen.sort_values(list(seen.columns), ignore_index=True)
-    model.center, model.scale, model.weights = fit_logistic(seen[list(FEATURES)].to_numpy(float), seen["label"].to_numpy(float))
-    return model
+    return handed, fit_logistic(seen[list(FEATURES)].to_numpy(float), seen["label"].to_numpy(float))
 
 
 def _calibration(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
@@ -282,11 +285,10 @@ def _calibration(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int8()).cast(pa.float64()), *(pa.array(c) for c in x.T)], ["label", *FEATURES])
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model = shared.value
-    cache = Cache(model.log_ratios, 2)
+def _score(batches: Iterator[pa.RecordBatch], shared, curve: Curve) -> Iterator[pa.RecordBatch]:
+    cache = Cache(shared.value.log_ratios, 2)
     for batch in batches:
-        scores = model.scores(_features(batch.column(1).to_pylist(), cache))
+        scores = curve.scores(_features(batch.column(1).to_pylist(), cache))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
 
@@ -303,7 +305,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     arrow_limits(spark)
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where("__label is not null and __id is not null").groupBy("__id").agg(F.max("__label").alias("__label"))
     rows = docs.where(learn).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    model = train(rows.join(marks, F.col("__doc") == F.col("__id")), "__doc", "__text", "__label")
-    shared = spark.sparkContext.broadcast(model)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(lambda it: _score(it, shared), "doc_id long, score double")
+    # texts are dealt by id whatever the number of labels
+    shared, curve = train(rows.join(marks.hint("merge"), F.col("__doc") == F.col("__id")), "__doc", "__text", "__label")
+    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(lambda it: _score(it, shared, curve), "doc_id long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
