@@ -233,7 +233,8 @@ def repeat_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = materialize(keys.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows")), "taken")
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     sized = docs.withColumn("__words", words)
-    joined = sized.join(keys, sized[id_col].cast("long").eqNullSafe(keys["__id"]) & sized[source_col].eqNullSafe(keys["__source"]) & (sized["__words"] == keys["__size"]))
+    # texts are dealt by id whatever the size of the list
+    joined = sized.join(keys.hint("merge"), sized[id_col].cast("long").eqNullSafe(keys["__id"]) & sized[source_col].eqNullSafe(keys["__source"]) & (sized["__words"] == keys["__size"]))
     one = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col))
     nth = F.when(F.col("__rows") == 1, F.lit(0)).otherwise(F.row_number().over(one) - 1)
     share = F.floor(F.col("__copies") / F.col("__rows")) + (nth < F.col("__copies") % F.col("__rows")).cast("long")
