@@ -105,17 +105,24 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _near(fp: np.ndarray, other: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within ``fp``, or between it and ``other``."""
+def _first_key(u: np.ndarray, v: np.ndarray, masks: np.ndarray, mask: int | np.ndarray) -> np.ndarray:
+    """Whether ``mask`` is the first mask under which the two are equal: each link belongs to one key only."""
+    return ((u ^ v)[:, None] & masks[None, :] == 0).argmax(axis=1) == mask
+
+
+def _near(fp: np.ndarray, other: np.ndarray | None, most: int, masks: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links that belong to this key, within ``fp`` or between it and ``other``."""
     whole = fp if other is None else np.concatenate([fp, other])
     base = 0 if other is None else len(fp)
     right = fp if other is None else other
-    us, vs = [], []
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(fp), 256):
         i, j = np.nonzero(np.bitwise_count(fp[at : at + 256, None] ^ right[None, :]) <= most)
         i += at
         if other is None:
             i, j = i[j > i], j[j > i]
+        own = _first_key(fp[i], right[j], masks, mask)
+        i, j = i[own], j[own]
         us.append(i)
         vs.append(j + base)
         if sum(map(len, us)) > 4 * len(whole):  # thin out what is held
@@ -127,8 +134,9 @@ def _near(fp: np.ndarray, other: np.ndarray | None, most: int) -> tuple[np.ndarr
     return whole[u[keep]], whole[v[keep]]
 
 
-def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key (mask, block bits, tile pair): emits verified links within each key."""
+def _links(batches: Iterator[pa.RecordBatch], most: int, mask_list: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key (mask, block bits, tile pair): emits a forest of the verified links that belong to each key."""
+    masks = np.array(mask_list, np.uint64)
     empty = np.zeros(0, np.int64)
     held = [empty] * 5
 
@@ -141,24 +149,31 @@ def _links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
         ends = np.append(change, len(fp))
         size = ends - starts
         bits = fp.view(np.uint64)
-        us, vs = [], []
+        us, vs = [bits[:0]], [bits[:0]]
         # small keys: all of them at once, by distance in the sorted order
-        small = np.repeat((size <= 64) & (size > 1), size)
+        small = np.repeat((size <= 64) & (size > 1) & (pair[starts] < 0), size)
         group = np.repeat(np.arange(len(size)), size)
-        whole = pair < 0
+        near_i, near_j = [empty], [empty]
         for step in range(1, int(size[size <= 64].max(initial=1))):
-            i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step]) & whole[:-step])
+            i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step]))
             if not len(i):
                 break
             i = i[np.bitwise_count(bits[i] ^ bits[i + step]) <= most]
-            us.append(bits[i])
-            vs.append(bits[i + step])
+            near_i.append(i)
+            near_j.append(i + step)
+        i, j = np.concatenate(near_i), np.concatenate(near_j)
+        own = _first_key(bits[i], bits[j], masks, mask[i])
+        i, j = i[own], j[own]
+        keep = _forest(i, j, len(bits)) if len(i) else empty
+        us.append(bits[i[keep]])
+        vs.append(bits[j[keep]])
         for k in np.flatnonzero((size > 64) | ((pair[starts] >= 0) & (size > 1))):
             f, s = bits[starts[k] : ends[k]], side[starts[k] : ends[k]]
-            u, v = _near(f, None, most) if s[0] == WITHIN else _near(f[s == 0], f[s == 1], most)
+            m = int(mask[starts[k]])
+            u, v = _near(f, None, most, masks, m) if s[0] == WITHIN else _near(f[s == 0], f[s == 1], most, masks, m)
             us.append(u)
             vs.append(v)
-        u, v = (np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1) if us else (bits[:0], bits[:0]))
+        u, v = np.concatenate(us), np.concatenate(vs)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     for batch in batches:
@@ -179,7 +194,8 @@ def near_links(fps: DataFrame, max_distance: int = 4, blocks: int = 7, tile: int
     """Verified links (u, v) between the distinct fingerprints of the column ``fp``: enough of them to connect what any links connect."""
     spark = fps.sparkSession
     arrow_limits(spark)
-    masks = [_signed(m) for m in block_masks(blocks, max_distance)]
+    plain = block_masks(blocks, max_distance)
+    masks = [_signed(m) for m in plain]
     n = shuffle_partitions(spark)
     keyed = fps.select("fp").select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("mask", "key"))
     counts = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("c"))
@@ -197,7 +213,7 @@ def near_links(fps: DataFrame, max_distance: int = 4, blocks: int = 7, tile: int
     else:
         keyed = keyed.select("mask", "key", F.lit(-1).alias("pair"), F.lit(WITHIN).alias("side"), "fp")
     dealt = keyed.repartition(n, "mask", "key", "pair").sortWithinPartitions("mask", "key", "pair", "side")
-    return dealt.select("mask", "key", "pair", "side", "fp").mapInArrow(lambda it: _links(it, max_distance), "u long, v long")
+    return dealt.select("mask", "key", "pair", "side", "fp").mapInArrow(lambda it: _links(it, max_distance, plain), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_distance: int = 4, blocks: int = 7) -> DataFrame:
