@@ -18,10 +18,13 @@ import numpy as np
 _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space to Python but not to the tokenizer's pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_CACHE_PIECES = 500_000
-_CALL_CHARS = 5_000
+#: Pieces kept; when full, those met in more than one group of texts stay. Pieces of one call.
+_CACHE_PIECES, _CALL_PIECES = 400_000, 500
 _GROUP_CHARS = 1_000_000
 
+#: Before a piece: it follows a line feed, or starts its text; else it follows a space.
+LINE, FIRST = "\0", "\1"
+
 _encoders: dict[str, "PieceEncoder"] = {}
 
 
@@ -63,35 +66,35 @@ class PieceEncoder:
         for token, i in vocab.items():
             self.n_bytes[i] = len(token.encode()) if token in added else len(token)
         self.cache: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.groups = 0
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        plain, rest = [], []
-        for p in pieces:
-            (plain if p < "!" and not p[-1].isspace() else rest).append(p)
-        at, width = 0, self.dtype.itemsize
-        while at < len(plain):
-            size, end = 0, at
-            while end < len(plain) and (end == at or size + len(plain[end]) <= _CALL_CHARS):
-                size += len(plain[end])
-                end += 1
-            part = plain[at:end]
-            ids = self._direct(["".join(part)])[0]
+        plain = [p for p in pieces if p[0] != FIRST]
+        first = [p for p in pieces if p[0] == FIRST]
+        width = self.dtype.itemsize
+        parts = [plain[i : i + _CALL_PIECES] for i in range(0, len(plain), _CALL_PIECES)]
+        texts = [["\n" + p[1:] if p[0] == LINE else " " + p for p in part] for part in parts]
+        for part, text in zip(parts, texts):
+            ids = self._direct(["".join(text)])[0]
             ends = np.cumsum(self.n_bytes[np.frombuffer(ids, self.dtype)])
-            piece_ends = np.cumsum([len(p.encode("utf-8", "replace")) for p in part])
+            piece_ends = np.cumsum(np.fromiter(map(len, map(str.encode, text)), np.int64, len(part)))
             cut = np.searchsorted(ends, piece_ends)
             if not np.array_equal(ends[cut], piece_ends):
-                rest += part
-            else:
-                start = 0
-                for p, stop in zip(part, ((cut + 1) * width).tolist()):
-                    self.cache[p] = ids[start:stop]
-                    start = stop
-            at = end
-        for i in range(0, len(rest), 1000):
-            self.cache.update(zip(rest[i : i + 1000], self._direct(rest[i : i + 1000])))
+                raise ValueError("the tokenizer joins what stands before white space with it")
+            stops = (cut + 1) * width
+            self.cache.update(zip(part, map(ids.__getitem__, map(slice, [0, *stops[:-1].tolist()], stops.tolist()))))
+        for i in range(0, len(first), 1000):
+            self.cache.update(zip(first[i : i + 1000], self._direct([p[1:] for p in first[i : i + 1000]])))
+
+    @staticmethod
+    def _simple(piece: str) -> bool:
+        """No white space in it, so that it ends where the next one starts."""
+        body = piece[1:] if piece[:1] in (LINE, FIRST) else piece
+        return len(body.split()) == 1 and body.split()[0] == body
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``dtype`` wide."""
@@ -104,16 +107,41 @@ class PieceEncoder:
             while end < len(texts) and (end == at or size + len(texts[end]) <= _GROUP_CHARS):
                 size += len(texts[end])
                 end += 1
-            split = [None if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts[at:end]]
-            new = {p for pieces in split if pieces for p in pieces}.difference(self.cache)
+            split = [[] if LINE in t or FIRST in t else (FIRST + t).replace("\n", " " + LINE).split(" ") for t in texts[at:end]]
+            need = set().union(*split)
+            new = need.difference(self.cache)
+            odd = need & {"", LINE, FIRST}
+            if len("".join(new).split()) > 1:
+                odd |= {p for p in new if not self._simple(p)}
+            self.groups += 1
+            if self.groups % 2:
+                self.again.update(need)
+                self.again.difference_update(new)
             if len(self.cache) + len(new) > _CACHE_PIECES:
-                self.cache.clear()
-                new = {p for pieces in split if pieces for p in pieces}
-            if new:
+                keep = self.again if len(self.again) < _CACHE_PIECES // 2 else ()
+                self.cache = {p: self.cache[p] for p in keep if p in self.cache}
+                self.again = set()
+                new = need.difference(self.cache)
+            if new := new - odd:
                 self._learn(list(new))
-            out += [self._direct([t])[0] if pieces is None else b"".join(map(self.cache.__getitem__, pieces)) for t, pieces in zip(texts[at:end], split)]
+            get = self.cache.__getitem__
+            for t, pieces in zip(texts[at:end], split):
+                out.append(b"".join(map(get, pieces)) if pieces and (not odd or odd.isdisjoint(pieces)) else self._runs(t))
             at = end
         return out
 
+    def _runs(self, text: str) -> bytes:
+        """A text with longer runs of white space, or other white space than spaces and line feeds."""
+        if _ODD_SPACE.search(text):
+            return self._direct([text])[0]
+        parts, size = [[]], 0
+        for piece in _PIECE.findall(text):
+            if size > _GROUP_CHARS // 4:
+                parts.append([])
+                size = 0
+            parts[-1].append(piece)
+            size += len(piece)
+        return b"".join(self._direct(["".join(p) for p in parts]))
+
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode([text])[0], self.dtype)
