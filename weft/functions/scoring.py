@@ -52,15 +52,15 @@ def structured_boost(table: Column, listed: Column, structured: Column) -> Colum
     return F.lit(1.0) + one(table, 0.2) + one(listed, 0.15) + one(structured, 0.25)
 
 
-def relevance(words: Column, depth: Column, entity: Column, category: Column, table: Column, listed: Column, images: Column, structured: Column) -> Column:
+def relevance(words: Column, depth: Column, entity: Column, category: Column, table: Column, listed: Column, images: Column, structured: Column, digits: int = 4) -> Column:
     fact = F.when(entity.isin(*SINGLE_FACTS), F.lit(1.0)).otherwise(F.least(words / F.lit(200.0), F.lit(1.0)))
     base = F.lit(0.35) * F.least(depth / F.lit(4.0), F.lit(1.0)) + F.lit(0.45) * fact + F.when(table | listed | images | structured, F.lit(0.2)).otherwise(F.lit(0.0))
-    return F.round(F.least(base, F.lit(1.0)) * lookup(category, CHUNK_CATEGORY_WEIGHT, 0.5) * lookup(entity, CHUNK_ENTITY_BOOST, 1.0) * structured_boost(table, listed, structured), 4)
+    return F.round(F.least(base, F.lit(1.0)) * lookup(category, CHUNK_CATEGORY_WEIGHT, 0.5) * lookup(entity, CHUNK_ENTITY_BOOST, 1.0) * structured_boost(table, listed, structured), digits)
 
 
-def quality(words: Column, blank: Column, table: Column, listed: Column, structured: Column) -> Column:
+def quality(words: Column, blank: Column, table: Column, listed: Column, structured: Column, digits: int = 4) -> Column:
     one = lambda c, v: F.when(c, F.lit(v)).otherwise(F.lit(0.0))
-    return F.round(F.least(F.lit(0.5) * F.least(words / F.lit(160.0), F.lit(1.0)) + one(table, 0.2) + one(listed, 0.2) + one(structured, 0.1) + one(~blank, 0.1), F.lit(1.0)), 4)
+    return F.round(F.least(F.lit(0.5) * F.least(words / F.lit(160.0), F.lit(1.0)) + one(table, 0.2) + one(listed, 0.2) + one(structured, 0.1) + one(~blank, 0.1), F.lit(1.0)), digits)
 
 
 def cosine(v: Column, query: list[float]) -> Column:

@@ -344,12 +344,12 @@ def info_density(spark, d):
     return t(spark, d, "documents").select("doc_id", F.round(text.information_density(F.col("text")), 6).alias("density"))
 
 
-@query(f"SELECT doc_id, round(1e-9 + least(1.0::DOUBLE, 0.35::DOUBLE * 0.5 + 0.45::DOUBLE * least(len({SQL_TOKENS}) / 200.0::DOUBLE, 1.0)), 4) AS relevance, round(1e-9 + least(1.0::DOUBLE, 0.5::DOUBLE * least(len({SQL_TOKENS}) / 160.0::DOUBLE, 1.0) + CASE WHEN regexp_matches(text, '\\S') THEN 0.1 ELSE 0 END::DOUBLE), 4) AS quality FROM documents")
+@query(f"SELECT doc_id, round(least(1.0::DOUBLE, 0.35::DOUBLE * 0.5 + 0.45::DOUBLE * least(len({SQL_TOKENS}) / 200.0::DOUBLE, 1.0)), 9) AS relevance, round(least(1.0::DOUBLE, 0.5::DOUBLE * least(len({SQL_TOKENS}) / 160.0::DOUBLE, 1.0) + CASE WHEN regexp_matches(text, '\\S') THEN 0.1 ELSE 0 END::DOUBLE), 9) AS quality FROM documents")
 def chunk_scores(spark, d):
     no = F.lit(False)
     n = text.word_tokens(F.col("text"))
-    relevance = scoring.relevance(n, F.lit(2), F.lit("content"), F.lit("main_content"), no, no, no, no)
-    return t(spark, d, "documents").select("doc_id", relevance.alias("relevance"), scoring.quality(n, text.strip(F.col("text")) == "", no, no, no).alias("quality"))
+    relevance = scoring.relevance(n, F.lit(2), F.lit("content"), F.lit("main_content"), no, no, no, no, digits=9)
+    return t(spark, d, "documents").select("doc_id", relevance.alias("relevance"), scoring.quality(n, text.strip(F.col("text")) == "", no, no, no, digits=9).alias("quality"))
 
 
 @query(f"SELECT doc_id, i AS place, array_to_string(list_slice(w, i * 450 + 1, i * 450 + 500), ' ') AS content FROM (SELECT doc_id, {SQL_SPLIT} AS w FROM documents), range(0, 1000000) r(i) WHERE len(w) > 0 AND i < greatest(ceil((len(w) - 50) / 450.0), 1)")
