@@ -10,8 +10,10 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 3, most: int | None = N
     """(url, depth) of what is reached, each at its least depth. ``most``: pages in all, by depth and url.
 
     edges: src, dst. seeds: url. Each level joins only the new urls and leaves
-    out those seen; levels are checkpointed, so lineage does not grow.
+    out those seen; levels are checkpointed where the session has a
+    folder for it, so lineage does not grow.
     """
+    checkpoint = checkpoint and edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
     new = seen
     for level in range(1, depth + 1):
