@@ -3,6 +3,8 @@
 Fingerprints: a bit is 1 if it is set in over half the XXH64 values of the
 document's word shingles, repeats included.
 
+``keep_one`` also links texts by the exact similarity of their shingle sets (``weft.llm.jaccard``).
+
 Links: a fingerprint is cut into ``blocks`` blocks. Two fingerprints that differ
 in at most ``max_distance`` bits agree in at least ``blocks - max_distance``
 whole blocks, so they share a key made of so many blocks. Distinct fingerprints
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import arrow_limits, materialize, shuffle_partitions
 from weft.llm.components import connected_components
+from weft.llm.jaccard import band_keys, jaccard_links
 
 #: Distinct fingerprints of a key that one task compares; larger keys are dealt in tiles of this size.
 TILE = 4096
@@ -38,13 +41,13 @@ _STEP = 1 << 15
 WITHIN = 2
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """The unsigned 64-bit fingerprint; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; none for a text without words."""
     import xxhash
 
     split = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not split:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(split)
     size = np.fromiter(map(len, split), np.int64, len(split))
     ends = np.cumsum(size + 1) - 1
@@ -54,12 +57,25 @@ def fingerprint(text: str | None, words: int) -> int:
     else:
         starts, ends = starts[: len(split) - words + 1], ends[words - 1 :]
     digest = xxhash.xxh64_intdigest
-    total = np.zeros(64, np.int64)
+    out = np.empty(len(starts), np.uint64)
     for at in range(0, len(starts), _STEP):
         a, b = starts[at : at + _STEP].tolist(), ends[at : at + _STEP].tolist()
-        h = np.fromiter((digest(joined[i:j], 42) for i, j in zip(a, b)), np.uint64, len(a))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits((total * 2 > len(starts)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+        out[at : at + _STEP] = np.fromiter((digest(joined[i:j], 42) for i, j in zip(a, b)), np.uint64, len(a))
+    return out
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _STEP):
+        total += np.unpackbits(hashes[at : at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((total * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The unsigned 64-bit fingerprint; 0 for a text without words."""
+    return _majority(shingle_hashes(text, words))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -68,6 +84,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
 
+def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
+    for batch in batches:
+        fps, sets, bands = [], [], []
+        for text in batch.column(2).to_pylist():
+            hashes = shingle_hashes(text, words)
+            fps.append(_majority(hashes))
+            hashes = np.unique(hashes)
+            sets.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes())) if len(hashes) else None)
+            bands.append(band_keys(hashes).view(np.int64) if len(hashes) else None)
+        made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sets, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "text_hash", "fp", "set_id", "bands"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
     arrow_limits(docs.sparkSession)
@@ -225,18 +256,39 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     each give a row. Other columns are not read.
     """
     members = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    by_fp = _component_of(_rooted(members, max_distance, blocks))
+    return members.join(by_fp, members["fp"] == by_fp["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "component_id", "group_size")
+
+
+def _rooted(members: DataFrame, max_distance: int, blocks: int) -> DataFrame:
+    """(fp, root, least, n): the distinct fingerprints, the root that links of few bits give, the least id and the rows."""
     classes = materialize(members.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fingerprint-classes")
     roots = materialize(connected_components(near_links(classes, max_distance, blocks)), "fingerprint-roots")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n")
-    rooted = materialize(rooted, "rooted")
+    return materialize(rooted, "rooted")
+
+
+def _component_of(rooted: DataFrame) -> DataFrame:
+    """(f, component_id, group_size) of each fingerprint f."""
     summed = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_size")), "components")
-    by_fp = materialize(rooted.join(summed, "root").select(F.col("fp").alias("f"), "component_id", "group_size"), "component-of")
-    return members.join(by_fp, members["fp"] == by_fp["f"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "fp", "component_id", "group_size")
+    return materialize(rooted.join(summed, "root").select(F.col("fp").alias("f"), "component_id", "group_size"), "component-of")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_distance: int = 6, blocks: int = 9) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one of each near-duplicate group: the smallest id stays, of its repeated rows one. Rows with a null id stay."""
-    found = simhash_components(docs, id_col, text_col, words, max_distance, blocks)
+    """The rows of ``docs``, all columns, without all but one of each near-duplicate group: the smallest id stays, of its repeated rows one. Rows with a null id stay.
+
+    Two texts are linked if their fingerprints differ in at most ``max_distance``
+    bits or if their sets of word shingles have a Jaccard similarity of at least
+    ``jaccard.LEAST``; groups are what links connect.
+    """
+    arrow_limits(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
+    members = materialize(rows.mapInArrow(lambda it: _signatures(it, words), "doc_id long, text_hash long, fp long, set_id long, bands array<long>"), "signatures")
+    rooted = _rooted(members, max_distance, blocks)
+    joined = materialize(connected_components(jaccard_links(members, rooted, docs, text_col, words)), "joined-roots")
+    whole = rooted.withColumnRenamed("root", "part").join(joined, F.col("part") == F.col("node"), "left").select("fp", F.coalesce("root", "part").alias("root"), "least", "n")
+    by_fp = _component_of(materialize(whole, "rooted-whole"))
+    found = members.join(by_fp, members["fp"] == by_fp["f"]).select("doc_id", "component_id")
     drop = materialize(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "drop")
     kept = docs.join(drop, docs[id_col] == drop["drop_id"], "left_anti")
     one = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
