@@ -11,8 +11,8 @@ on labelled documents that the models have not seen, turns them to a score.
 Counting, the models and scoring all run on executors. Grams meet by the two
 characters before their last: with them come all of a gram's contexts and
 shorter forms, so the recursion needs no further shuffle. What is handed to
-every scoring task is a table of fixed size: a slot by hash for each gram's
-log-ratio, kept by the gram with the higher count, with a tag to tell others.
+every scoring task are the log-ratios of all grams and contexts, none dropped,
+in order of their codes: ten bytes each.
 """
 
 from __future__ import annotations
@@ -30,14 +30,13 @@ from weft.llm.common import arrow_limits, materialize
 from weft.llm.words import Cache, characters, groups, letter_words
 
 ORDER, DISCOUNT = 6, 0.75
-#: Bits of a character in a gram's code, and slots of the tables of grams and of contexts.
-CHAR_BITS, GRAM_SLOTS, CONTEXT_SLOTS = 10, 21, 20
+#: Bits of a character in a gram's code.
+CHAR_BITS = 10
 _FIELD = (1 << CHAR_BITS) - 1
 #: Of the labelled documents that may be learned from, one in so many only calibrates; the most of them that do.
 CALIBRATION_PART, CALIBRATION_DOCS = 4, 20_000
 WINDOW = 20
 FEATURES = ("mean", "window", "top1", "top2", "top3", "strong", "words")
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _char_codes(points: np.ndarray) -> np.ndarray:
@@ -63,14 +62,6 @@ def _mask(order: int) -> int:
     return (1 << (CHAR_BITS * order)) - 1
 
 
-def _slot(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, tag) of each code; a tag is never 0."""
-    h = code.astype(np.uint64) * _PRIME
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (((h >> np.uint64(8)) & np.uint64(0xFFFF)) | np.uint64(1)).astype(np.int32)
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, toxic, ordinary): documents of each class that hold the word, for each batch."""
     for batch in batches:
@@ -153,14 +144,20 @@ class Curve:
 
 @dataclass
 class Tables:
-    """Slots of grams and of contexts: tag (0 if empty) and log-ratio, four bytes a slot."""
+    """Codes of all grams and of all contexts, ascending, and their log-ratios."""
 
-    tags: tuple[np.ndarray, np.ndarray]
+    codes: tuple[np.ndarray, np.ndarray]
     values: tuple[np.ndarray, np.ndarray]
 
     def _look(self, kind: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, tag = _slot(code, (GRAM_SLOTS, CONTEXT_SLOTS)[kind])
-        return self.tags[kind][slot] == tag, self.values[kind][slot].astype(np.float32)
+        codes = self.codes[kind]
+        if not len(codes):
+            return np.zeros(len(code), bool), np.zeros(len(code), np.float32)
+        order = np.argsort(code)
+        at = np.empty(len(code), np.int64)
+        at[order] = np.searchsorted(codes, code[order])
+        at = np.minimum(at, len(codes) - 1)
+        return codes[at] == code, self.values[kind][at].astype(np.float32)
 
     def log_ratios(self, words: list[str]) -> np.ndarray:
         """(log-likelihood toxic less ordinary, characters) of each word."""
@@ -229,19 +226,15 @@ def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -
 
 
 def _group(key, table: pa.Table, shared) -> pa.Table:
-    kinds, codes, values, weights = [], [], [], []
+    kinds, codes, values = [], [], []
     counts = np.stack([table.column(k).to_numpy() for k in ("toxic", "ordinary")], axis=1)
-    for kind, code, value, weight in kneser_ney(table.column("code").to_numpy(), counts, shared.value):
+    for kind, code, value, _ in kneser_ney(table.column("code").to_numpy(), counts, shared.value):
         kinds.append(np.full(len(code), kind))
         codes.append(code)
         values.append(value)
-        weights.append(weight)
     if not codes:
-        kinds = codes = values = weights = [np.zeros(0)]
-    kind, code = np.concatenate(kinds).astype(np.int32), np.concatenate(codes).astype(np.int64)
-    (slot, tag), (context_slot, _) = _slot(code, GRAM_SLOTS), _slot(code, CONTEXT_SLOTS)
-    slot = np.where(kind == 0, slot, context_slot)
-    return pa.table({"kind": kind, "slot": slot.astype(np.int32), "tag": tag, "value": np.concatenate(values).astype(np.float32), "weight": np.concatenate(weights).astype(np.float64), "code": code})
+        kinds = codes = values = [np.zeros(0)]
+    return pa.table({"kind": np.concatenate(kinds).astype(np.int32), "code": np.concatenate(codes).astype(np.int64), "value": np.concatenate(values).astype(np.float32)})
 
 
 def train(labelled: DataFrame, key: str, text_col: str, label_col: str):
@@ -259,20 +252,15 @@ def train(labelled: DataFrame, key: str, text_col: str, label_col: str):
     pairs = grams.groupBy(F.col("code").bitwiseAND(F.lit(_mask(2))).alias("c")).agg(F.sum(F.col("toxic") + F.col("ordinary")).alias("n")).toArrow().to_pandas()
     shared = spark.sparkContext.broadcast(shared_bigrams(pairs["c"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)))
     before = F.shiftright("code", CHAR_BITS).bitwiseAND(F.lit(_mask(2)))
-    made = grams.where(F.col("code") > _mask(2)).groupBy(before.alias("before")).applyInArrow(lambda k, t: _group(k, t, shared), "kind int, slot int, tag int, value float, weight double, code long")
-    kept = made.groupBy("kind", "slot").agg(F.max(F.struct("weight", "code", "tag", "value")).alias("m")).select("kind", "slot", "m.tag", "m.value")
-    slots = kept.toArrow().to_pandas()  # at most one row for each slot
-    tags, values = [], []
-    for kind, bits in enumerate((GRAM_SLOTS, CONTEXT_SLOTS)):
-        own = slots[slots["kind"] == kind]
-        tags.append(np.zeros(1 << bits, np.uint16))
-        values.append(np.zeros(1 << bits, np.float16))
-        tags[-1][own["slot"].to_numpy()] = own["tag"].to_numpy()
-        values[-1][own["slot"].to_numpy()] = own["value"].to_numpy()
+    made = grams.where(F.col("code") > _mask(2)).groupBy(before.alias("before")).applyInArrow(lambda k, t: _group(k, t, shared), "kind int, code long, value float")
+    made = made.toArrow()  # a row for each distinct gram and context: these grow as the vocabulary does
+    kinds, codes, values = (made.column(k).to_numpy() for k in ("kind", "code", "value"))
+    by = [own[np.argsort(codes[own])] for own in (np.flatnonzero(kinds == k) for k in (0, 1))]
+    tables = Tables(tuple(codes[k] for k in by), tuple(values[k].astype(np.float16) for k in by))
     held = rows.where("part = 0")
     n = held.count()
     drawn = held.where(F.pmod("draw", F.lit(1_000_000)) / F.lit(1_000_000.0) < F.lit(min(1.0, CALIBRATION_DOCS / max(n, 1))))
-    handed = spark.sparkContext.broadcast(Tables(tuple(tags), tuple(values)))
+    handed = spark.sparkContext.broadcast(tables)
     seen = drawn.select("t", "toxic").mapInArrow(lambda it: _calibration(it, handed), "label double, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().to_pandas()
     seen = seen.sort_values(list(seen.columns), ignore_index=True)
     return handed, fit_logistic(seen[list(FEATURES)].to_numpy(float), seen["label"].to_numpy(float))
