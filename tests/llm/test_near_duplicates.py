@@ -51,3 +51,13 @@ def test_pipeline_near_duplicates(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = sorted(x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert kept == sorted({root.index(x) for x in set(root)})
+
+
+def test_keep_one_by_id_and_text(spark):
+    r = random.Random(7)
+    a, b, c = (sentence(80, r) for _ in range(3))
+    data = [(5, a), (3, a), (5, b), (None, c), (None, c), (None, c.replace(c.split()[0], "other", 1)), (8, b)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    kept = [(x["doc_id"], x["text"]) for x in simhash.keep_one(docs).collect()]
+    assert (3, a) in kept and (5, b) in kept  # id 5 goes with text a, not with text b
+    assert sum(i is None for i, _ in kept) == 1 and len(kept) == 3

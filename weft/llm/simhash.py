@@ -275,7 +275,7 @@ def _component_of(rooted: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_distance: int = 6, blocks: int = 9) -> DataFrame:
-    """The rows of ``docs``, all columns, without all but one of each near-duplicate group: the smallest id stays, of its repeated rows one. Rows with a null id stay.
+    """The rows of ``docs``, all columns, without all but one of each near-duplicate group: the smallest id stays, of its rows one. Of a group's rows with a null id one stays too.
 
     Two texts are linked if their fingerprints differ in at most ``max_distance``
     bits or if their sets of word shingles have a Jaccard similarity of at least
@@ -286,11 +286,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     members = materialize(rows.mapInArrow(lambda it: _signatures(it, words), "doc_id long, text_hash long, fp long, set_id long, bands array<long>"), "signatures")
     rooted = _rooted(members, max_distance, blocks)
     joined = materialize(connected_components(jaccard_links(members, rooted, docs, text_col, words)), "joined-roots")
-    whole = rooted.withColumnRenamed("root", "part").join(joined, F.col("part") == F.col("node"), "left").select("fp", F.coalesce("root", "part").alias("root"), "least", "n")
-    by_fp = _component_of(materialize(whole, "rooted-whole"))
-    found = members.join(by_fp, members["fp"] == by_fp["f"]).select("doc_id", "component_id")
-    drop = materialize(found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "drop")
-    kept = docs.join(drop, docs[id_col] == drop["drop_id"], "left_anti")
-    one = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))
-    ranked = kept.withColumn("__row", F.when(F.col(id_col).isNull(), 1).otherwise(F.row_number().over(one)))
-    return ranked.where("__row = 1").drop("__row")
+    whole = rooted.withColumnRenamed("root", "part").join(joined, F.col("part") == F.col("node"), "left")
+    rooted_by = materialize(whole.select(F.col("fp").alias("f"), F.coalesce("root", "part").alias("root")), "rooted-whole")
+    # a row is known by its id and its text; the group by its fingerprint
+    own = members.join(rooted_by, members["fp"] == rooted_by["f"]).select("doc_id", "text_hash", "root").distinct()
+    own = materialize(own, "rows-of-groups")
+    first = own.groupBy(F.col("root").alias("r"), F.col("doc_id").isNull().alias("blank")).agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
+    other = (F.col("root") == F.col("r")) & (F.col("doc_id").isNull() == F.col("blank"))
+    drop = own.join(first, other).where(~(F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_hash") == F.col("m.text_hash"))))
+    drop = materialize(drop.select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_text")), "drop")
+    hashed = docs.withColumn("__text", F.xxhash64(text_col))
+    kept = hashed.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("drop_id")) & (F.col("__text") == F.col("drop_text")), "left_anti")
+    one = Window.partitionBy(id_col, "__text").orderBy(F.lit(1))
+    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row", "__text")
