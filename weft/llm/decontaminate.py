@@ -25,10 +25,10 @@ from weft.llm.common import arrow_limits
 
 #: Characters of a q-gram; edits allowed, as a share of a passage's characters.
 Q, EDITS = 10, 0.08
-#: Characters of a passage, and by how many windows of a long item are apart.
-PASSAGE, STRIDE = 160, 80
+#: Characters of a passage, and by how many windows of a long item are apart: every excerpt of PASSAGE + STRIDE - 1 characters holds a whole window.
+PASSAGE, STRIDE = 160, 12
 #: Characters of benchmark items that are searched in one pass over the texts.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 1_200_000
 _GROUP_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
