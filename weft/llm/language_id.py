@@ -262,11 +262,11 @@ def label_words(model: Crf, text: str | None) -> list[tuple[str, str, float]]:
 
 
 def training_sample(docs: DataFrame, fold: Column, text_col: str, lang_col: str, key: Column, per_lang: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS) -> list[tuple[str, str]]:
-    """About ``per_lang`` whole texts of each language, of at most ``most_chars`` characters, drawn by a hash of ``key``.
+    """About ``per_lang`` texts of each language, drawn by a hash of ``key``; of a longer text the first ``most_chars`` characters.
 
     Counts a language first: a row is drawn if its hash falls under its language's rate. One pass, no shuffle of texts.
     """
-    fits = docs.where(fold & F.col(lang_col).isNotNull() & (F.length(text_col) <= most_chars))
+    fits = docs.where(fold & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in fits.groupBy(F.col(lang_col)).count().collect()}
     if not counts:
         return []
@@ -274,7 +274,7 @@ def training_sample(docs: DataFrame, fold: Column, text_col: str, lang_col: str,
     for lang, n in sorted(counts.items()):
         rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_lang / n))).otherwise(rate)
     drawn = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1_000_000)) / F.lit(1_000_000.0) < rate
-    return [(r[0], r[1]) for r in fits.where(drawn).select(lang_col, text_col).collect()]
+    return [(r[0], r[1]) for r in fits.where(drawn).select(lang_col, F.substring(text_col, 1, most_chars)).collect()]
 
 
 def _predict(batches: Iterator[pa.RecordBatch], shared, column: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
