@@ -27,3 +27,13 @@ def test_every_gram_and_context_is_kept(spark):
     assert handed.value._look(0, seen)[0].all()
     assert handed.value._look(1, np.unique(seen >> toxicity.CHAR_BITS))[0].all()
     assert not handed.value._look(0, np.array([toxicity.gram_codes(["qqqqqqqqqq"])[0][-2]]))[0].any()
+
+
+def test_rows_beyond_the_calibration_draw_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_DOCS", 8)
+    r = random.Random(4)
+    data = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)), i % 2) for i in range(240)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    handed, _ = toxicity.train(frame, "doc_id", "text", "toxic")
+    last = np.array([toxicity.gram_codes([t])[0][-1] for _, t, _ in data])
+    assert handed.value._look(0, last)[0].sum() > 215

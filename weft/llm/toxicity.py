@@ -33,7 +33,7 @@ ORDER, DISCOUNT = 6, 0.75
 #: Bits of a character in a gram's code.
 CHAR_BITS = 10
 _FIELD = (1 << CHAR_BITS) - 1
-#: Of the labelled documents that may be learned from, one in so many only calibrates; the most of them that do.
+#: Of the labelled documents that may be learned from, one in so many only calibrates, but about this many at most; all others are counted.
 CALIBRATION_PART, CALIBRATION_DOCS = 4, 20_000
 WINDOW = 20
 FEATURES = ("mean", "window", "top1", "top2", "top3", "strong", "words")
@@ -244,7 +244,9 @@ def train(labelled: DataFrame, key: str, text_col: str, label_col: str):
     part = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(CALIBRATION_PART))
     rows = labelled.select(F.col(text_col).alias("t"), (F.col(label_col) == 1).alias("toxic"), part.alias("part"), F.xxhash64(F.col(key), F.lit(9)).alias("draw"))
     rows = materialize(rows, "labelled")
-    words = rows.where("part <> 0").select("t", "toxic").mapInArrow(_word_counts, "word string, toxic long, ordinary long")
+    n = rows.where("part = 0").count()
+    draws = (F.col("part") == 0) & (F.pmod("draw", F.lit(1_000_000)) / F.lit(1_000_000.0) < F.lit(min(1.0, CALIBRATION_DOCS / max(n, 1))))
+    words = rows.where(~draws).select("t", "toxic").mapInArrow(_word_counts, "word string, toxic long, ordinary long")
     words = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = words.mapInArrow(_gram_counts, "code long, toxic long, ordinary long").groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = materialize(grams, "grams")
@@ -257,11 +259,8 @@ def train(labelled: DataFrame, key: str, text_col: str, label_col: str):
     kinds, codes, values = (made.column(k).to_numpy() for k in ("kind", "code", "value"))
     by = [own[np.argsort(codes[own])] for own in (np.flatnonzero(kinds == k) for k in (0, 1))]
     tables = Tables(tuple(codes[k] for k in by), tuple(values[k].astype(np.float16) for k in by))
-    held = rows.where("part = 0")
-    n = held.count()
-    drawn = held.where(F.pmod("draw", F.lit(1_000_000)) / F.lit(1_000_000.0) < F.lit(min(1.0, CALIBRATION_DOCS / max(n, 1))))
     handed = spark.sparkContext.broadcast(tables)
-    seen = drawn.select("t", "toxic").mapInArrow(lambda it: _calibration(it, handed), "label double, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().to_pandas()
+    seen = rows.where(draws).select("t", "toxic").mapInArrow(lambda it: _calibration(it, handed), "label double, " + ", ".join(f"{f} double" for f in FEATURES)).toArrow().to_pandas()
     seen = seen.sort_values(list(seen.columns), ignore_index=True)
     return handed, fit_logistic(seen[list(FEATURES)].to_numpy(float), seen["label"].to_numpy(float))
 
