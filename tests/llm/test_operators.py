@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from weft.llm import components, decontaminate, exact_dedup, language_id, mixing, simhash, token_counts, token_output, tokens, toxicity, url_filter, warc
 
@@ -40,21 +41,41 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+LIBRARY = Tokenizer.from_file(tokens.default_vocab())
+
+
 def whole(text):
-    enc = tokens.encoder(tokens.default_vocab())
-    return enc.tokenizer.encode(text, add_special_tokens=False).ids
+    """Ids by an untouched call of the library."""
+    return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_encoder_equals_whole_text():
     enc = tokens.PieceEncoder(tokens.default_vocab())
-    odd = ["", " ", "a\n  b", " a  b\n\n c\t d ", "x\x1cy !\x1c a", "🙂 é　ö  \n", "<|endoftext|> a", "a\x85 b\xa0 c\xa0", "it's we'll", "\0a \1b", "a \n b\nc\n"]
+    odd = ["", " ", "a\n  b", " a  b\n\n c\t d ", "x\x1cy !\x1c a", "🙂 é　ö  \n", "<|endoftext|> a", "a\x85 b\xa0 c\xa0", "it's we'll", "\0a \1b", "a \n b\nc\n", "x<|endoftext|>", "été,12ß3-(naïve) d'ici O'x's 'tis Œuvre… «a» ½", "\nab", "\n\nab", " "]
     texts = odd + [t or "" for _, t, *_ in rows()]
     r = random.Random(3)
     texts += ["".join(r.choices(" \n\tab.,'é1\xa0\x1c", k=40)) for _ in range(300)]
+    texts += [" ".join("".join(r.choices("abcdéßœ12.,-'(", k=r.randint(1, 9))) for _ in range(60)) for _ in range(100)]
     for _ in range(2):  # the second time from the cache
         assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [whole(t) for t in texts]
 
 
+def test_encoder_forgets_and_cuts(monkeypatch):
+    monkeypatch.setattr(tokens, "_CACHE_PIECES", 100)
+    monkeypatch.setattr(tokens, "_GROUP_CHARS", 3000)
+    enc = tokens.PieceEncoder(tokens.default_vocab())
+    texts = [sentence(90) + " " + sentence(2).upper() for _ in range(60)] + ["long  text\n" * 2000, "", "one"]
+    for _ in range(2):
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == [whole(t) for t in texts]
+    assert len(enc.slot) < 1000
+
+
+def test_shard_order(spark):
+    names = ["part-00009-ab-c000.txt", "part-20000-ab-c000.txt", "part-20000-ab-c999.txt", "part-20000-ab-c1000.txt", "part-99999-ab-c000.txt", "part-100000-ab-c000.txt"]
+    frame = spark.createDataFrame([(f"file:/x/{n}",) for n in reversed(names)], "shard string")
+    assert [r[0][8:] for r in frame.orderBy(*token_output.shard_order(frame["shard"])).collect()] == names
+
+
 def test_token_output_round_trip(spark, docs, empty, tmp_path):
     out = token_output.token_output(docs, f"file://{tmp_path}/t").collect()
     assert len(out) == len(rows())
@@ -78,6 +99,24 @@ def test_token_output_round_trip(spark, docs, empty, tmp_path):
         list(token_output.frames(data[:-3] + b"x" + data[-2:]))
 
 
+def test_token_counts_against_the_library(spark):
+    """Every section against the spans of the library's own tokens."""
+    r = random.Random(8)
+    texts = ["".join(r.choices(["\n", "\n", "  ", "é", "東", "a b", "word", "\t", "12"], k=60)) for _ in range(20)]
+    got = {}
+    for row in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(row["doc_id"], []).append(row)
+    for i, text in enumerate(texts):
+        byte = lambda k: len(text[:k].encode())
+        spans = [(byte(x["start_char"]), byte(x["end_char"]), x["section"]) for x in got[i]]
+        held, begin = {x["section"]: 0 for x in got[i]}, 0
+        for token in whole(text):
+            end = begin + len(LIBRARY.id_to_token(token))
+            held[max(spans, key=lambda s: (min(s[1], end) - max(s[0], begin), -s[2]))[2]] += 1
+            begin = end
+        assert begin == len(text.encode()) and held == {x["section"]: x["n_tokens"] for x in got[i]}
+
+
 def test_token_counts(docs, empty):
     got = {}
     for r in token_counts.token_counts(docs).collect():

@@ -58,6 +58,8 @@ def attribute(token_bytes: np.ndarray, bounds: np.ndarray, rule: str = "majority
 
 def _count(batches: Iterator[pa.RecordBatch], vocab: str, rule: str, fields: int) -> Iterator[pa.RecordBatch]:
     enc = tokens.encoder(vocab)
+    if not enc.byte_level:
+        raise ValueError(f"{vocab} is no byte-level tokenizer: its tokens do not tell the bytes they stand for")
     names = ["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing"]
     for batch in batches:
         ids = batch.column(0).to_pylist()
@@ -67,19 +69,18 @@ def _count(batches: Iterator[pa.RecordBatch], vocab: str, rule: str, fields: int
         else:
             parts, texts = None, [t or "" for t in batch.column(1).to_pylist()]
         out: list[tuple[np.ndarray, ...]] = []
-        for at in range(0, len(ids), 128):
-            for k, (text, code) in enumerate(zip(texts[at : at + 128], enc.encode(texts[at : at + 128])), at):
-                if parts is None:
-                    starts = line_sections(text)
-                else:
-                    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts[k]])[:-1]]).astype(np.int64)
-                if text.isascii():
-                    bounds = starts
-                else:
-                    lead = (np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80
-                    bounds = np.append(np.flatnonzero(lead), len(lead))[starts]
-                n, crossing = attribute(enc.n_bytes[np.frombuffer(code, enc.dtype)], bounds, rule)
-                out.append((np.arange(len(starts)), starts, np.append(starts[1:], len(text)), n, crossing))
+        for k, (text, code) in enumerate(zip(texts, enc.encode(texts))):
+            if parts is None:
+                starts = line_sections(text)
+            else:
+                starts = np.concatenate([[0], np.cumsum([len(p) for p in parts[k]])[:-1]]).astype(np.int64)
+            if text.isascii():
+                bounds = starts
+            else:
+                lead = (np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 0xC0) != 0x80
+                bounds = np.append(np.flatnonzero(lead), len(lead))[starts]
+            n, crossing = attribute(enc.n_bytes[np.frombuffer(code, enc.dtype)], bounds, rule)
+            out.append((np.arange(len(starts)), starts, np.append(starts[1:], len(text)), n, crossing))
         if not out:
             continue
         owners = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), [len(x[0]) for x in out])))

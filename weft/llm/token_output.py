@@ -31,8 +31,6 @@ from weft.llm.common import arrow_limits, materialize, scratch_path, shuffle_par
 #: Text bytes that one record file is planned for; a file is read back whole by one task.
 FILE_BYTES = 48 << 20
 _OUT_BYTES = 4 << 20
-#: Range bounds that are put into the plan as constants.
-MOST_BOUNDS = 256
 
 INDEX_SCHEMA = "doc_id long, shard string, offset long, length long, local_start long, n_tokens long, ids_crc32 long"
 SHARDS_BROADCAST = 100_000
@@ -51,20 +49,26 @@ def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
     return b"".join((head, struct.pack("<I", masked_crc(head)), payload, struct.pack("<I", masked_crc(payload))))
 
 
+def read_frame(data: bytes, at: int) -> tuple[int, int | None, np.ndarray]:
+    """(length, document id, ids) of the frame at a byte; raises ValueError where a length or sum is wrong."""
+    head = data[at : at + 8]
+    if len(head) < 8 or len(data) < at + 12 or struct.unpack_from("<I", data, at + 8)[0] != masked_crc(head):
+        raise ValueError(f"bad length at byte {at}")
+    size = struct.unpack("<Q", head)[0]
+    payload = data[at + 12 : at + 12 + size]
+    if len(payload) < size or data[at + 16 + size : at + 17 + size] != b"\n" or struct.unpack_from("<I", data, at + 12 + size)[0] != masked_crc(payload):
+        raise ValueError(f"bad record at byte {at}")
+    flags, doc_id = struct.unpack_from("<Bq", payload)
+    return size + 17, None if flags & 1 else doc_id, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=9)
+
+
 def frames(data: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]:
-    """(offset, length, document id, ids) of each frame; raises ValueError where a length or sum is wrong."""
+    """(offset, length, document id, ids) of each frame."""
     at = 0
     while at < len(data):
-        head = data[at : at + 8]
-        if len(head) < 8 or struct.unpack_from("<I", data, at + 8)[0] != masked_crc(head):
-            raise ValueError(f"bad length at byte {at}")
-        size = struct.unpack("<Q", head)[0]
-        payload = data[at + 12 : at + 12 + size]
-        if len(payload) < size or data[at + 16 + size : at + 17 + size] != b"\n" or struct.unpack_from("<I", data, at + 12 + size)[0] != masked_crc(payload):
-            raise ValueError(f"bad record at byte {at}")
-        flags, doc_id = struct.unpack_from("<Bq", payload)
-        yield at, size + 17, None if flags & 1 else doc_id, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=9)
-        at += size + 17
+        length, doc_id, ids = read_frame(data, at)
+        yield at, length, doc_id, ids
+        at += length
 
 
 def _encode(batches: Iterator[pa.RecordBatch], vocab: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -74,15 +78,12 @@ def _encode(batches: Iterator[pa.RecordBatch], vocab: str, end_id: int) -> Itera
     for batch in batches:
         out: list[bytes] = []
         held = 0
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(ids), 256):
-            coded = enc.encode([t or "" for t in texts[at : at + 256]])
-            for doc_id, c in zip(ids[at : at + 256], coded):
-                out.append(frame(doc_id, c + end, wide))
-                held += len(out[-1])
-                if held >= _OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-                    out, held = [], 0
+        for doc_id, coded in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
+            out.append(frame(doc_id, coded + end, wide))
+            held += len(out[-1])
+            if held >= _OUT_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
+                out, held = [], 0
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
@@ -112,30 +113,16 @@ def write_records(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     rows_n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
     n = max(shuffle_partitions(spark), -(-size // file_bytes))
-    dealt = _dealt(rows, n).sortWithinPartitions("i", F.xxhash64("t"))
+    # the hash is part of the order: rows that repeat an id, or have none, span ranges
+    dealt = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(n, "i", "h").sortWithinPartitions("i", "h")
     per_file = max(1, int(rows_n * file_bytes / max(size, 1)))
     coded = dealt.select("i", "t").mapInArrow(lambda it: _encode(it, vocab, end_id), "frame binary")
     coded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
-def _dealt(rows: DataFrame, n: int) -> DataFrame:
-    """Partitions that are ascending ranges of ``i``. Few bounds are found on the id column alone; for many, Spark samples them."""
-    if n > MOST_BOUNDS:
-        return rows.repartitionByRange(n, "i")
-    bounds = sorted(set(rows.agg(F.percentile_approx("i", [k / n for k in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
-    return rows.withColumn("s", F.coalesce(_below(F.col("i"), bounds), F.lit(0))).repartitionById(len(bounds) + 1, F.col("s"))
-
-
-def _below(col, bounds: list[int]):
-    """How many of the sorted bounds lie below ``col``: a binary search as nested conditions."""
-
-    def search(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col > F.lit(bounds[mid]), search(mid + 1, hi)).otherwise(search(lo, mid))
-
-    return search(0, len(bounds))
+def shard_order(shard) -> list:
+    """Numbers of a record file's partition and of the file in it, in which the files are in order; both can outgrow their zero-padded digits."""
+    return [F.regexp_extract(shard, r"part-(\d+)-[^/]*-c(\d+)[^/]*$", k).cast("long") for k in (1, 2)]
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -157,8 +144,7 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
         for batch in batches:
             for content, want in zip(batch.column(0), batch.column(1).to_pylist()):
                 data = content.as_buffer().to_pybytes()
-                by = {at: (doc_id, ids) for at, _, doc_id, ids in frames(data)}
-                picked = [by[w["offset"]] for w in want]
+                picked = [read_frame(data, w["offset"])[1:] for w in want]
                 arrays = [pa.array([d for d, _ in picked], pa.int64()), pa.array([i.astype(np.int32) for _, i in picked], pa.list_(pa.int32()))]
                 if keyed:
                     arrays.append(pa.array([w["order_key"] for w in want], pa.int64()))
@@ -182,7 +168,7 @@ def token_output(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     read_index(spark, path).write.parquet(f"{path}-index")
     index = spark.read.schema(INDEX_SCHEMA).parquet(f"{path}-index")
     # one row for each file: far fewer than documents, whatever their number
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*shard_order(F.col("shard"))).rowsBetween(Window.unboundedPreceding, -1)
     shards = materialize(index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shards")
     if shards.count() <= SHARDS_BROADCAST:
         shards = F.broadcast(shards)
