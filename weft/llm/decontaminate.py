@@ -13,6 +13,7 @@ is verified by an alignment in that band.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ PASSAGE, STRIDE = 160, 12
 #: Characters of benchmark items that are searched in one pass over the texts.
 BLOCK_CHARS = 1_200_000
 _GROUP_CHARS = 1_000_000
+#: Matches of q-grams that are counted in bands at once.
+_MATCHES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 SCHEMA = "doc_id long, item_id long, edits int, start_char long, end_char long"
@@ -151,7 +154,11 @@ class Index:
             if len(norm) < q:
                 self.short.append((item_id, norm))
                 continue
+            seen: set[bytes] = set()  # windows of a repetitive item are alike
             for a, b in passages(norm):
+                if (raw := norm[a:b].tobytes()) in seen:
+                    continue
+                seen.add(raw)
                 g = grams(norm[a:b], q)
                 codes.append(g)
                 owner.append(np.full(len(g), len(self.item)))
@@ -185,30 +192,65 @@ class Index:
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
             return []
-        out: list[tuple[int, int, int]] = []
-        # whole texts at a time, about a million matches
         text = np.searchsorted(base, at, "right") - 1
-        total = np.cumsum(n)
-        first = 0
-        while first < len(at):
-            stop = int(np.searchsorted(total, (total[first - 1] if first else 0) + 1_000_000, "right"))
-            stop = max(stop, first + 1)
-            stop = int(np.searchsorted(text, text[stop - 1], "right"))
-            out += self._bands(at[first:stop], text[first:stop], lo[first:stop], n[first:stop], base)
-            first = stop
+        place = at - base[text]
+        starts = np.concatenate([[0], np.flatnonzero(text[1:] != text[:-1]) + 1, [len(at)]])
+        total = np.concatenate([[0], np.cumsum(n)])[starts]
+        out: list[tuple[int, int, int]] = []
+        k = 0
+        while k < len(starts) - 1:  # whole texts, as many as have so many matches
+            stop = max(k + 1, int(np.searchsorted(total, total[k] + _MATCHES, "right")) - 1)
+            part = slice(starts[k], starts[stop])
+            if total[stop] - total[k] > _MATCHES:
+                out += self._windows(place[part], text[part], lo[part], n[part])
+            else:
+                out += self._bands(place[part], text[part], lo[part], n[part])
+            k = stop
+        return out
+
+    def _windows(self, place, text, lo, n) -> list[tuple[int, int, int]]:
+        """One text with very many matches: some of its diagonals and of the passages at a time.
+
+        All matches of a band lie within ``reach`` positions from its first diagonal on.
+        """
+        reach = 2 * self.step + max(map(len, self.passage))
+        out: list[tuple[int, int, int]] = []
+        low = -reach
+        while (a := int(np.searchsorted(place, low))) < len(place):
+            low = max(low, int(place[a]) - reach)
+            high = low + 8 * reach
+            part = slice(a, int(np.searchsorted(place, high + reach)))
+            parts = min(len(self.item), int(n[part].sum()) // _MATCHES + 1)
+            edges = [len(self.item) * k // parts for k in range(parts + 1)]
+            for owners in zip(edges, edges[1:]):
+                out += self._bands(place[part], text[part], lo[part], n[part], (low, high), owners)
+            low = high
         return out
 
-    def _bands(self, at, text, lo, n, base) -> list[tuple[int, int, int]]:
-        pick = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        passage = self.owner[pick]
-        t = np.repeat(text, n)
-        diagonal = np.repeat(at - base[text], n) - self.place[pick]
+    def _bands(self, place, text, lo, n, window: tuple[int, int] | None = None, owners: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
+        """Bands that reach their bound: of all diagonals and passages, or those that begin in a window, and of some passages."""
+        found = []
+        step = len(n) if owners is None else max(1, _MATCHES * len(n) // int(n.sum()))
+        for a in range(0, len(n), step):
+            m = n[a : a + step]
+            pick = np.repeat(lo[a : a + step] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            passage, t = self.owner[pick], np.repeat(text[a : a + step], m)
+            diagonal = np.repeat(place[a : a + step], m) - self.place[pick]
+            if owners is not None:
+                own = (passage >= owners[0]) & (passage < owners[1])
+                passage, t, diagonal = passage[own], t[own], diagonal[own]
+            found.append(np.stack([t, passage, diagonal]))
+        t, passage, diagonal = np.concatenate(found, axis=1)
         band = np.floor_divide(diagonal, self.step)
         # a match in the first ``edits`` diagonals of a band lies in the band before as well
         early = diagonal - band * self.step < self.edits[passage]
         keys = np.stack([np.concatenate([t, t[early]]), np.concatenate([passage, passage[early]]), np.concatenate([band, band[early] - 1])])
-        order = np.lexsort(keys)
-        keys = keys[:, order]
+        if window is not None:
+            begin = keys[2] * self.step
+            keys = keys[:, (begin >= window[0]) & (begin < window[1])]
+        if not keys.shape[1]:
+            return []
+        keys = keys[:, np.lexsort(keys)]
         change = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
         starts = np.concatenate([[0], change])
         count = np.diff(np.append(starts, keys.shape[1]))
@@ -240,11 +282,12 @@ def search(texts: list[str | None], index: Index) -> list[list[tuple[int, int, i
         gap = np.array([0x110000], np.uint32)
         codes = np.concatenate([x for n, _ in norms for x in (n, gap)])
         base = np.cumsum([0, *(len(n) + 1 for n, _ in norms)])[:-1]
-        for t, passage, first in index.regions(codes, base):
+        for t, passage, first in sorted(index.regions(codes, base), key=lambda r: (r[0], r[2])):
             norm, where = norms[t]
             item = index.item[passage]
             known = found[at + t].get(item)
-            if known and known[0] == 0:
+            # an exact match can only give way to an earlier one
+            if known and known[0] == 0 and where[max(0, min(first, len(where) - 1))] >= known[1]:
                 continue
             if (hit := index.verify(norm, passage, first)) and (known is None or (hit[0], where[hit[1]]) < known[:2]):
                 last = where[hit[2] - 1] + 1 if hit[2] > hit[1] else where[hit[1]]
@@ -265,10 +308,23 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
     for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
+        # texts that share an id are one item, so they share a block
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         yield [(r["item"], r["t"]) for r in part.orderBy("item", "t").collect()]
 
 
+_indexes: dict[str, Index] = {}
+
+
+def _index(shared, name: str) -> Index:
+    """The worker's index of a block, built once."""
+    if name not in _indexes:
+        while len(_indexes) > 1:
+            _indexes.pop(next(iter(_indexes)))
+        _indexes[name] = Index(shared.value)
+    return _indexes[name]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item found in it (``SCHEMA``): fewest edits, and the span in the document's characters.
 
@@ -282,14 +338,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     out = None
     for items in _items(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        part = rows.mapInArrow(lambda it, shared=shared: _find(it, shared), SCHEMA)
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+        part = rows.mapInArrow(lambda it, shared=shared, name=name: _find(it, shared, name), SCHEMA)
         out = part if out is None else out.union(part)
     return out
 
 
-def _find(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    index = Index(shared.value)
+def _find(batches: Iterator[pa.RecordBatch], shared, name: str) -> Iterator[pa.RecordBatch]:
+    index = _index(shared, name)
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         rows = [(d, *hit) for d, hits in zip(ids, search(texts, index)) for hit in hits]
@@ -297,34 +353,36 @@ def _find(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], ["doc_id", "item_id", "edits", "start_char", "end_char"])
 
 
-def _mark(batches: Iterator[pa.RecordBatch], shared, column: int) -> Iterator[pa.RecordBatch]:
-    index = Index(shared.value)
+def _mark(batches: Iterator[pa.RecordBatch], shared, name: str, column: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    index = _index(shared, name)
     for batch in batches:
         hits = search(batch.column(column).to_pylist(), index)
         extra = [
             pa.array([[h[0] for h in x] for x in hits], pa.list_(pa.int64())),
             pa.array([min((h[1] for h in x), default=None) for x in hits], pa.int32()),
         ]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "leaked_items", "least_edits"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``leaked_items`` (ids, ascending; empty if clean) and ``least_edits`` (null if clean).
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", items_out: str = "leaked_items", edits_out: str = "least_edits") -> DataFrame:
+    """``docs`` with the columns ``items_out`` (ids, ascending; empty if clean) and ``edits_out`` (null if clean).
 
-    Passes over the documents once for each block of the benchmark. A column of
-    ``docs`` with one of these names is replaced.
+    Passes over the documents once for each block of the benchmark. A null or
+    blank text is clean; repeated rows are each marked. A column of ``docs``
+    with one of the two names is replaced.
     """
     arrow_limits(docs.sparkSession)
-    out = docs.drop("leaked_items", "least_edits")
+    out = docs.drop(items_out, edits_out)
+    names = items_out + "__", edits_out + "__"
     first = True
     for items in _items(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-        rows = out if first else out.withColumnsRenamed({"leaked_items": "__items", "least_edits": "__edits"})
-        at = rows.columns.index(text_col)
-        schema = T.StructType([*rows.schema, T.StructField("leaked_items", T.ArrayType(T.LongType())), T.StructField("least_edits", T.IntegerType())])
-        marked = rows.mapInArrow(lambda it, shared=shared, at=at: _mark(it, shared, at), schema)
-        if not first:
-            both = F.array_sort(F.array_distinct(F.concat("__items", "leaked_items")))
-            marked = marked.withColumns({"leaked_items": both, "least_edits": F.least("__edits", "least_edits")}).drop("__items", "__edits")
-        out, first = marked, False
+        shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+        at = out.columns.index(text_col)
+        schema = T.StructType([*out.schema, T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.IntegerType())])
+        marked = out.mapInArrow(lambda it, shared=shared, name=name, at=at: _mark(it, shared, name, at, names), schema)
+        if first:
+            out, first = marked.withColumnsRenamed({names[0]: items_out, names[1]: edits_out}), False
+        else:
+            both = F.array_sort(F.array_distinct(F.concat(items_out, names[0])))
+            out = marked.withColumns({items_out: both, edits_out: F.least(edits_out, names[1])}).drop(*names)
     return out
