@@ -8,6 +8,8 @@ in a second filter; the listed keys which that one lets through in a third; and
 so on until none is left. For every key of the corpus the first filter that
 lacks it then tells, exactly, whether it is listed: an even filter says yes, an
 odd one no. Judging a url reads the filters, a few words, and joins nothing.
+Rules are dealt to blocks by a hash of their keys. Each block has its cascade
+and is judged in its own pass, so that the filters of one pass are bounded.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import lower_ascii, materialize
+from weft.llm.common import LOWER, UPPER, lower_ascii, materialize
 
-#: Bits of all filters together, up to which they are handed to every task; a larger rule list is joined instead.
-MOST_FILTER_BITS = 512 << 20
+#: Rules of one block: a block's filters, some tens of bits a rule, are handed to every task.
+BLOCK_RULES = 4 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -112,48 +114,57 @@ class Cascade:
 
 
 def parse_rules(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
-    """Rules as (action, ``host/path``) to the columns action, host, path."""
-    rows = [(action, *(lambda h, s, p: (h.lower(), s + p))(*rule.partition("/"))) for action, rule in rules]
+    """Rules as (action, ``host/path``) to the columns action, host (A-Z lower-cased, as those of urls), path."""
+    low = str.maketrans(UPPER, LOWER)
+    rows = [(action, *(lambda h, s, p: (h.translate(low), s + p))(*rule.partition("/"))) for action, rule in rules]
     return spark.createDataFrame(rows, "action string, host string, path string")
 
 
-def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", most_bits: int = MOST_FILTER_BITS) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", block_rules: int = BLOCK_RULES) -> DataFrame:
     """One row for each row of ``pages``: the id, host, path, rule, verdict.
 
-    rules: action (block or allow), host, path. A rule fits its host and all
-    subdomains if the url's path starts with the rule's; the longest that fits
-    wins, block before allow where both list the same key. Where none fits, no
-    key of the url is in the cascade: rule is null and the verdict ``default``.
-    Repeated rows each give a row; null urls have an empty host and path. Other
-    columns are not read. A list whose filters would pass ``most_bits`` is
-    joined by key instead.
+    rules: action (block or allow), host, path; a rule with a null in one of
+    them is none. A rule fits its host and all subdomains if the url's path
+    starts with the rule's; the longest that fits wins, of equally long ones
+    that with the longer host, and block before allow where both list the same
+    key. Where none fits, no key of the url is in the cascade: rule is null and
+    the verdict ``default``. Repeated rows each give a row; null urls have an
+    empty host and path. Other columns are not read. An empty table gives no
+    row. The keys of a url are as many as its host's labels times the different
+    lengths of rule paths that it reaches.
     """
     host, path = host_path(F.col("u"))
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("u")).select("page_id", host.alias("host"), path.alias("path"))
-    listed = rules.select(F.concat("host", "path").alias("key"), "action")
-    sizes = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
+    listed = rules.select(F.concat("host", "path").alias("key"), "action", F.length("path").alias("size")).where("key is not null and action is not null")
+    sizes = sorted(r[0] for r in listed.select("size").distinct().collect())
     if not sizes:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    keyed = urls.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), sizes))
-    universe = keyed.select(F.explode("keys").alias("key"))
-    if rules.count() * 64 > most_bits:
-        return _judge_by_join(keyed, listed, default)
-    every = Cascade(universe, listed)
+    judged = urls.select("page_id", "host", "path", F.lit(None).cast("struct<place:int,rule:string,block:boolean>").alias("best"))
+    blocks = max(1, -(-listed.count() // block_rules))
+    for b in range(blocks):
+        judged = _judge_block(judged, listed, sizes, b, blocks)
+        if b + 1 < blocks:
+            judged = materialize(judged, "judged")
+    verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.block"), F.lit("block")).otherwise(F.lit("allow"))
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
+
+
+def _judge_block(judged: DataFrame, listed: DataFrame, sizes: list[int], b: int, blocks: int) -> DataFrame:
+    """``judged`` with the rules of block ``b``: of the known best and the block's first key that is listed, the earlier among the url's keys."""
+    own = lambda k: F.pmod(F.xxhash64(k, F.lit(-7)), F.lit(blocks)) == b
+    listed = listed.where(own(F.col("key")))
+    keys = F.transform(candidate_keys(F.col("host"), F.col("path"), sizes), lambda k, i: F.struct(i.alias("place"), k.alias("key")))
+    keyed = judged.withColumn("keys", F.filter(keys, lambda k: own(k["key"])) if blocks > 1 else keys)
+    every = Cascade(keyed.select(F.explode("keys.key").alias("key")), listed)
+    if not every.levels:
+        return judged
     blocked = Cascade(listed, listed.where("action = 'block'"))
     # the filters' words stand beside each row: one constant for all
     with_words = keyed.withColumns({f"w{k}": level.words() for k, level in enumerate(every.levels)})
     words = [F.col(f"w{k}") for k in range(len(every.levels))]
-    rule = F.get(F.filter("keys", lambda k: every.contains(k, words)), F.lit(0))
-    judged = with_words.select("page_id", "host", "path", rule.alias("rule"))
-    block = blocked.contains(F.col("rule"), [level.words() for level in blocked.levels])
-    verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(block, F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
-
-
-def _judge_by_join(keyed: DataFrame, listed: DataFrame, default: str) -> DataFrame:
-    rows = keyed.withColumn("row", F.monotonically_increasing_id())
-    rows = materialize(rows, "urls")
-    hits = rows.select("row", F.posexplode("keys").alias("pos", "key")).join(listed.groupBy("key").agg(F.max(F.col("action") == "block").alias("block")), "key")
-    best = hits.groupBy("row").agg(F.min(F.struct("pos", "key", "block")).alias("b"))
-    verdict = F.when(F.col("b").isNull(), F.lit(default)).when(F.col("b.block"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(best, "row", "left").select("page_id", "host", "path", F.col("b.key").alias("rule"), verdict.alias("verdict"))
+    found = F.get(F.filter("keys", lambda k: every.contains(k["key"], words)), F.lit(0))
+    hit = with_words.select("page_id", "host", "path", "best", found.alias("found"))
+    block = blocked.contains(F.col("found.key"), [level.words() for level in blocked.levels])
+    new = F.when(F.col("found").isNotNull(), F.struct(F.col("found.place").cast("int").alias("place"), F.col("found.key").alias("rule"), block.alias("block")))
+    earlier = F.col("best").isNull() | (F.col("found.place") < F.col("best.place"))
+    return hit.select("page_id", "host", "path", F.when(F.col("found").isNotNull() & earlier, new).otherwise(F.col("best")).alias("best"))
