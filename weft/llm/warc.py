@@ -68,7 +68,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of captures with equal payloads of at least ``least_bytes`` bytes, that with
     the largest id is the response (rows that repeat that id all are) and the
     others revisit it; smaller payloads, and captures with a null id, are all
-    responses. A null payload is empty; a null url becomes ``about:blank``.
+    responses. Payloads are equal where their SHA-1, length and a second hash
+    are. A null payload is empty; a null url becomes ``about:blank``.
     ``time_col``: seconds since 1970 of the capture; without it, and where null,
     the id counts as seconds.
     """
@@ -77,11 +78,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), F.col(payload_col).alias("p"), seconds.cast("long").alias("s"))
     rows = rows.select("i", "u", "p", F.to_timestamp(F.timestamp_seconds(F.coalesce("s", F.abs(F.col("i")) % F.lit(4_000_000_000), F.lit(0)))).alias("at"))
     digest = sha1_base32(payload.cast("binary"))
-    keys = materialize(rows.select("i", digest.alias("d"), F.octet_length(payload).cast("long").alias("n"), "at", F.coalesce(_quoted(F.col("u")), F.lit("about:blank")).alias("uri")), "captures")
-    shared = keys.where((F.col("n") >= least_bytes) & F.col("i").isNotNull()).groupBy("d").agg(F.max(F.struct("i", "uri", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
-    shared = materialize(shared.where("c > 1").select(F.col("d").alias("shared"), "first"), "shared-payloads")
+    check = F.xxhash64(payload.cast("binary"), F.lit(3))
+    keys = materialize(rows.select("i", digest.alias("d"), check.alias("x"), F.octet_length(payload).cast("long").alias("n"), "at", F.coalesce(_quoted(F.col("u")), F.lit("about:blank")).alias("uri")), "captures")
+    shared = keys.where((F.col("n") >= least_bytes) & F.col("i").isNotNull()).groupBy("d", "x", "n").agg(F.max(F.struct("i", "uri", "at")).alias("first"), F.count(F.lit(1)).alias("c"))
+    shared = materialize(shared.where("c > 1").select(F.col("d").alias("sd"), F.col("x").alias("sx"), F.col("n").alias("sn"), "first"), "shared-payloads")
     n, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") + 600), F.lit(0))).first()
-    revisits = keys.join(shared, keys["d"] == shared["shared"]).where((F.col("n") >= least_bytes) & (F.col("i") < F.col("first.i"))).select(F.col("i").alias("ri"), F.col("d").alias("rd"), "first").dropDuplicates(["ri", "rd"])
+    same = (keys["d"] == shared["sd"]) & (keys["x"] == shared["sx"]) & (keys["n"] == shared["sn"])
+    revisits = keys.join(shared, same).where((F.col("n") >= least_bytes) & (F.col("i") < F.col("first.i")))
+    revisits = revisits.select(F.col("i").alias("ri"), F.col("d").alias("rd"), F.col("x").alias("rx"), F.col("n").alias("rn"), "first").dropDuplicates(["ri", "rd", "rx", "rn"])
     revisits = materialize(revisits, "revisits")  # its size tells Spark whether payloads must move to meet it
     per_file = max(1, int(n * file_bytes / max(total, 1)))
 
@@ -99,8 +103,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             line("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF), block,
         )
 
-    full = rows.withColumn("d", digest)
-    kept = full.join(revisits, full["i"].eqNullSafe(revisits["ri"]) & (full["d"] == revisits["rd"]), "left")
+    full = rows.withColumns({"d": digest, "x": check, "n": F.octet_length(payload).cast("long")})
+    own = full["i"].eqNullSafe(revisits["ri"]) & (full["d"] == revisits["rd"]) & (full["x"] == revisits["rx"]) & (full["n"] == revisits["rn"])
+    kept = full.join(revisits, own, "left")
     response = head("response", F.concat(http, payload))
     first = F.col("first")
     revisit = head("revisit", http, F.lit(f"WARC-Profile: {PROFILE}{CRLF}"), line("WARC-Refers-To", _record_id(first["i"])), line("WARC-Refers-To-Target-URI", first["uri"]), line("WARC-Refers-To-Date", stamp(first["at"])))
