@@ -8,14 +8,21 @@ from collections.abc import Iterator
 import numpy as np
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are neither letters nor decimal digits: fractions, superscripts, letter numbers, circled digits.
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]")
 #: Marks before and after a word in its character array.
 BEGIN, END = 2, 3
 GROUP_CHARS = 1_000_000
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters (Unicode category L)."""
+    if not text:
+        return []
+    words = _WORD.findall(text.lower())
+    if "".join(words).isalpha():
+        return words
+    return _WORD.findall(_NUMERALS.sub(" ", text.lower()))
 
 
 def groups(texts: list[str | None], most: int = GROUP_CHARS) -> Iterator[tuple[int, int]]:
