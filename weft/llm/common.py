@@ -49,6 +49,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def plain_keys(*columns) -> list:
+    """For each column two that are never null and equal where it is, nulls included: join and window on them share one shuffle."""
+    blank = {"string": F.lit(""), "long": F.lit(0).cast("long")}
+    return [c for col, kind in columns for c in (F.coalesce(col.cast(kind), blank[kind]), col.isNull())]
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

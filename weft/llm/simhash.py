@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_limits, materialize, shuffle_partitions
+from weft.llm.common import arrow_limits, materialize, plain_keys, shuffle_partitions, unused
 from weft.llm.components import connected_components
 from weft.llm.jaccard import band_keys, jaccard_links
 
@@ -279,7 +279,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Two texts are linked if their fingerprints differ in at most ``max_distance``
     bits or if their sets of word shingles have a Jaccard similarity of at least
-    ``jaccard.LEAST``; groups are what links connect.
+    ``jaccard.LEAST``; groups are what links connect. Of rows that repeat both id
+    and text, the one with the least hash of all its columns stays. A null or
+    blank text has fingerprint zero and is grouped like any other. An empty table
+    gives no row.
     """
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t"))
@@ -295,7 +298,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     other = (F.col("root") == F.col("r")) & (F.col("doc_id").isNull() == F.col("blank"))
     drop = own.join(first, other).where(~(F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_hash") == F.col("m.text_hash"))))
     drop = materialize(drop.select(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_text")), "drop")
-    hashed = docs.withColumn("__text", F.xxhash64(text_col))
-    kept = hashed.join(drop, F.col(id_col).cast("long").eqNullSafe(F.col("drop_id")) & (F.col("__text") == F.col("drop_text")), "left_anti")
-    one = Window.partitionBy(id_col, "__text").orderBy(F.lit(1))
-    return kept.withColumn("__row", F.row_number().over(one)).where("__row = 1").drop("__row", "__text")
+    names = unused(docs, "__id", "__no_id", "__text")
+    at = unused(docs, "__row")[0]
+    gone = drop.select(*(c.alias(n) for n, c in zip(names, [*plain_keys((F.col("drop_id"), "long")), F.col("drop_text")])))
+    hashed = docs.withColumns(dict(zip(names, [*plain_keys((F.col(id_col), "long")), F.xxhash64(text_col)])))
+    # texts are dealt once, for the join and for the choice of one of rows that repeat both id and text
+    kept = hashed.join(gone.hint("merge"), names, "left_anti")
+    order = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t))
+    return kept.withColumn(at, F.row_number().over(Window.partitionBy(*names).orderBy(order))).where(F.col(at) == 1).select(*docs.columns)
