@@ -237,7 +237,7 @@ def test_url_filter(spark):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     table = url_filter.parse_rules(spark, rules)
     got = {r["page_id"]: r for r in url_filter.judge_urls(pages, table).collect()}
-    joined = {r["page_id"]: r for r in url_filter.judge_urls(pages, table, most_bits=1).collect()}
+    joined = {r["page_id"]: r for r in url_filter.judge_urls(pages, table, block_rules=1).collect()}
     for i, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
         host = rest.split("#")[0].split("?")[0].split("/")[0].lower()
@@ -395,12 +395,27 @@ def test_mixing_targets(spark, empty):
         assert all(x["taken"] <= 3 * x["size"] for x in rows_n)
     again = mixing.mix_sources(docs.repartition(7)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
-    repeated = mixing.repeat_taken(docs)
-    assert repeated.columns == docs.columns
+    clash = docs.withColumn("__id", docs["source"]).withColumn("__WORDS", docs["doc_id"]).withColumn("__copies", docs["doc_id"])
+    repeated = mixing.repeat_taken(clash)
+    assert repeated.columns == clash.columns
+    assert mixing.repeat_taken(empty).count() == 0
     assert repeated.count() == sum(x["copies"] for x in out)
     assert mixing.mix_sources(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 700])
+def test_mixing_is_near_at_every_size(spark, n, monkeypatch):
+    """Long documents in small sources; the same rule in one bucket and in many."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    r = random.Random(n)
+    data = [(i, "w " * int(r.paretovariate(1.1) * 20), f"s{i % 3}") for i in range(n)] + [(None, "w w", "s1")] * 2
+    out = mixing.mix_sources(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    for s in ("s0", "s1", "s2"):
+        mine = [x for x in out if x["source"] == s]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 0.02 * mine[0]["target"]
+        assert all(x["copies"] in (0, 1, 2, 3) and x["taken"] == x["copies"] * x["size"] for x in mine)
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://www.a.org/x?b=1#f", "<p>é\r\n\r\nWARC/1.1\r\n"), (2, "http://b.org/", "same"), (3, None, "same"), (4, "http://c.d/\r\nevil: 1", None), (5, "HTTP://A.org:80/x?b=1", "same"), (5, "http://e/", "same"), (None, "http://f/", "same"), (6, "u", "")]
     frame = spark.createDataFrame([(i, u, h, "clash") for i, u, h in pages], "page_id long, url string, html string, d string")

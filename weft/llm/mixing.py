@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_limits, materialize, shuffle_partitions
+from weft.llm.common import arrow_limits, materialize, plain_keys, shuffle_partitions, unused
 
 #: Documents of a bucket, and buckets that meet in one at the next level.
 BUCKET_ROWS, FAN_IN = 512, 64
+#: Documents of a source whose copies may be changed after landing; how near its target a source is left alone; most changes.
+SPARE, NEAR, CHANGES = 64, 0.002, 64
 _EPS = 1e-9
 
-ROW = "doc_id long, source string, size long, source_size long, target double, whole long, p double, h long, bucket long, taken long"
+ROW = "doc_id long, source string, size long, source_size long, target double, whole long, p double, h long, bucket long, taken long, spare boolean, most long"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -85,27 +87,29 @@ def land(units: list[tuple[float, float, int]], salt: int) -> list[float]:
     return p
 
 
-def settle(taken: list[float], sizes: list[int], mass: float) -> list[float]:
-    """Decisions whose words are nearer ``mass``: exchanges of a taken for an open document, or single changes, while one helps.
-
-    What landing gives up is at most two documents' words; few exchanges win most of it back.
-    """
-    s, x = np.array(taken), np.array(sizes, float)
-    for _ in range(16):
-        off = float(s @ x - mass)
-        turn = np.where(s > 0, -x, x)  # what changing a document does
-        pair = off + turn[:, None] + turn[None, :]
-        pair[np.equal.outer(s, s)] = np.inf  # an exchange keeps the number of documents
-        best = np.unravel_index(np.argmin(np.abs(pair)), pair.shape) if len(s) else None
-        if best is None or abs(pair[best]) >= abs(off) - 1e-6:
-            one = int(np.argmin(np.abs(off + turn))) if len(s) else -1
-            if one < 0 or abs(off + turn[one]) >= 0.5 * abs(off):
-                break
-            s[one] = 1 - s[one]
-            continue
-        for k in best:
-            s[k] = 1 - s[k]
-    return s.tolist()
+def settle(copies: list[int], most: list[int], sizes: list[int], mass: float, near: float) -> list[int]:
+    """Copies whose words are within ``near`` of ``mass``, or as near as changes of one or two documents by one copy bring them. No document gets more than its ``most``."""
+    c, top, x = np.array(copies, np.int64), np.array(most, np.int64), np.array(sizes, float)
+    n = len(c)
+    for _ in range(CHANGES):
+        off = float(c @ x - mass)
+        if abs(off) <= near or not n:
+            break
+        # what one copy more of each document does, then one copy less
+        turn = np.concatenate([np.where(c < top, x, np.inf), np.where(c > 0, -x, np.inf)])
+        one = np.abs(off + turn)
+        both = np.abs(off + turn[:, None] + turn[None, :])
+        both[np.isnan(both)] = np.inf
+        k = np.arange(2 * n)
+        both[(k[:, None] % n) == (k[None, :] % n)] = np.inf  # two different documents
+        i, j = np.unravel_index(int(np.argmin(both)), both.shape)
+        best = int(np.argmin(one))
+        picked = [best] if one[best] <= max(near, both[i, j]) else [int(i), int(j)]
+        if min(one[best], both[i, j]) >= abs(off) - 1e-6:
+            break
+        for m in picked:
+            c[m % n] += 1 if m < n else -1
+    return c.tolist()
 
 
 def _fly(batches: Iterator[pa.RecordBatch], level: int, last: bool) -> Iterator[pa.RecordBatch]:
@@ -113,7 +117,7 @@ def _fly(batches: Iterator[pa.RecordBatch], level: int, last: bool) -> Iterator[
     group, key = None, object()
 
     def rows_out(rows: list[list]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in ROW.split(", ")])
 
     out: list[list] = []
@@ -135,17 +139,19 @@ class _Flight:
     """The flight of one source's documents in one bucket, a row at a time.
 
     Holds two rows at most, but at the last level all rows it gets: a bucket's,
-    or what FAN_IN buckets left open.
+    or what FAN_IN buckets left open, and the spare ones.
     """
 
     def __init__(self, level: int, last: bool):
         self.level, self.last, self.n, self.held = level, last, 0, []
         self.all: list[tuple[list, float]] = []
 
-    @staticmethod
-    def _done(row: list) -> list:
-        row[9] = (row[5] + int(row[6])) * row[2]
-        return row
+    def _out(self, rows: list[list]) -> list[list]:
+        """Decided rows go, but spare ones go on to the last level."""
+        for row in rows:
+            if not row[10]:
+                row[9] = (row[5] + int(row[6])) * row[2]
+        return [] if self.last else rows
 
     def push(self, row: list) -> list[list]:
         self.n += 1
@@ -153,7 +159,7 @@ class _Flight:
             self.all.append((row, row[6]))
         if row[6] <= _EPS or row[6] >= 1 - _EPS:
             row[6] = 0.0 if row[6] <= _EPS else 1.0
-            return [] if self.last else [self._done(row)]
+            return self._out([row])
         self.held.append(row)
         done = []
         while len(self.held) == 3:
@@ -162,18 +168,23 @@ class _Flight:
                 a[6] = q
             done += [a for a in self.held if a[6] in (0.0, 1.0)]
             self.held = [a for a in self.held if a[6] not in (0.0, 1.0)]
-        return [] if self.last else [self._done(a) for a in done]
+        return self._out(done)
 
     def end(self) -> list[list]:
         if not self.last:
             return self.held
         for a, q in zip(self.held, land([(a[6], a[2], a[7]) for a in self.held], 7)):
             a[6] = q
-        rows = [a for a, _ in self.all]
-        open_rows = [k for k, (_, p) in enumerate(self.all) if _EPS < p < 1 - _EPS]
-        for k, q in zip(open_rows, settle([rows[k][6] for k in open_rows], [rows[k][2] for k in open_rows], sum(rows[k][2] * self.all[k][1] for k in open_rows))):
-            rows[k][6] = q
-        return [self._done(a) for a in rows]
+        # the flight keeps the words' sum, so what is off is what landing gave up
+        off = sum(a[2] * (a[6] - p) for a, p in self.all)
+        spare = [a for a, _ in self.all if a[10]]
+        copies = [a[5] + int(a[6]) for a in spare]
+        mass = sum(c * a[2] for c, a in zip(copies, spare)) - off
+        for a, c in zip(spare, settle(copies, [a[11] for a in spare], [a[2] for a in spare], mass, NEAR * (spare[0][4] if spare else 0))):
+            a[6] = float(c - a[5])
+        for a, _ in self.all:
+            a[9] = (a[5] + int(a[6])) * a[2]
+        return [a for a, _ in self.all]
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -193,12 +204,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sizes = materialize(sizes, "source-sizes")
     n = sizes.agg(F.sum("n")).first()[0] or 0
-    targets = materialize(source_targets(sizes.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s"), "targets")
+    shares = source_targets(sizes.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "s")
+    targets = materialize(shares.join(sizes.select(F.col("source").alias("of"), "n"), F.col("s").eqNullSafe(F.col("of"))).drop("of"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = rows.join(targets, rows["source"].eqNullSafe(targets["s"]))
     buckets = max(1, math.ceil(n / BUCKET_ROWS))
     h = F.xxhash64("doc_id", "size", F.coalesce("source", F.lit("")))
-    start = joined.select("doc_id", "source", "size", "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p"), h.alias("h")).withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets))).withColumn("taken", F.lit(None).cast("long"))
+    start = joined.select("doc_id", "source", "size", "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p"), h.alias("h"), "n").withColumn("bucket", F.pmod(F.shiftright("h", 8), F.lit(buckets))).withColumn("taken", F.lit(None).cast("long"))
+    drawn = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.lit(SPARE / 2.0) * (1 / F.col("n") + F.col("size") / F.greatest("source_size", F.lit(1)))
+    start = start.withColumn("spare", drawn).withColumn("most", F.lit(math.floor(most)).cast("long")).drop("n")
     open_rows, decided = start, []
     level = 0
     while True:
@@ -226,18 +240,21 @@ def _level(rows: DataFrame, level: int, last: bool) -> DataFrame:
 def repeat_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
-    Rows with the same id, source and size share out their copies between them; rows with a null id do so too.
+    Rows with the same id, source and size share out their copies between them,
+    in the order of a hash of all their columns; rows with a null id do so too.
+    An empty table gives no row.
     """
     taken = mix_sources(docs, id_col, text_col, source_col, **options)
-    keys = taken.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    keys = materialize(keys.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"), F.col("rows").alias("__rows")), "taken")
+    names = unused(docs, "__id", "__no_id", "__source", "__no_source", "__words")
+    share, copies, rows, copy = unused(docs, "__share", "__copies", "__rows", "__copy")
+    keyed = taken.select("copies", *(c.alias(n) for n, c in zip(names, [*plain_keys((F.col("doc_id"), "long"), (F.col("source"), "string")), F.col("size")])))
+    keys = materialize(keyed.groupBy(*names).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0), "taken")
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.withColumn("__words", words)
-    # texts are dealt by id whatever the size of the list
-    joined = sized.join(keys.hint("merge"), sized[id_col].cast("long").eqNullSafe(keys["__id"]) & sized[source_col].eqNullSafe(keys["__source"]) & (sized["__words"] == keys["__size"]))
-    one = Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col))
-    nth = F.when(F.col("__rows") == 1, F.lit(0)).otherwise(F.row_number().over(one) - 1)
-    share = F.floor(F.col("__copies") / F.col("__rows")) + (nth < F.col("__copies") % F.col("__rows")).cast("long")
-    counted = joined.withColumn("__share", share.cast("int"))
-    rows = counted.where("__share > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__share"))))
-    return rows.drop("__words", "__id", "__source", "__size", "__copies", "__rows", "__share", "__copy")
+    sized = docs.withColumns(dict(zip(names, [*plain_keys((F.col(id_col), "long"), (F.col(source_col), "string")), words])))
+    # texts are dealt by these keys whatever the size of the list, once for the join and the order of repeated rows
+    joined = sized.join(keys.hint("merge"), names)
+    order = F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t))
+    nth = F.when(F.col(rows) == 1, F.lit(0)).otherwise(F.row_number().over(Window.partitionBy(*names).orderBy(order)) - 1)
+    part = F.floor(F.col(copies) / F.col(rows)) + (nth < F.col(copies) % F.col(rows)).cast("long")
+    counted = joined.withColumn(share, part.cast("int")).where(F.col(share) > 0)
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(share)))).select(*docs.columns)
