@@ -4,6 +4,11 @@ Language identification drops documents whose language it cannot tell, SimHash
 keeps one document of each near-duplicate group, decontamination drops
 documents with benchmark passages, mixing repeats or drops documents to its
 sources' target sizes, and the rest is written as token records.
+
+A null text, or one without a letter, has no language and is dropped by the first
+stage. Rows with a null id or source go through like any other; of rows that
+repeat a text one stays. Columns of any name pass unchanged. Empty tables give
+an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontaminate, language_id, mixing, simhash, token_output
-from weft.llm.common import crc_fold, scratch_path, table
+from weft.llm.common import crc_fold, scratch_path, table, unused
 
 #: Least mean posterior of a document's language.
 LEAST_SCORE = 0.3
@@ -22,8 +27,9 @@ SHINGLE, MAX_DISTANCE, BLOCKS = 5, 6, 9
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sample = language_id.training_sample(docs, crc_fold(F.col("doc_id"), 5) != 0, "text", "lang", F.col("doc_id"))
-    found = language_id.identify(docs, language_id.train(sample), lang_out="__lang", score_out="__score")
-    return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+    lang, score = unused(docs, "__lang", "__score")
+    found = language_id.identify(docs, language_id.train(sample), lang_out=lang, score_out=score)
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontaminate.mark_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("leaked_items") == 0).drop("leaked_items", "least_edits")
+    items, edits = unused(docs, "__items", "__edits")
+    marked = decontaminate.mark_leaks(docs, table(spark, sf_dir, "benchmark"), items_out=items, edits_out=edits)
+    return marked.where(F.size(items) == 0).drop(items, edits)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +53,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("mix", mix), ("tokens", tokens)]
 
-#: SQL has no tokenizer, forward-backward or balanced draw: tests hold the stages against brute force.
+#: SQL has no tokenizer, forward-backward or balanced draw: tests hold each stage's decisions against brute force.
 ORACLE_SQL = None
 
 
