@@ -14,28 +14,61 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from weft.functions.text import NOT_HEADINGS
 from weft.session import ship_package
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NO_TEXT = frozenset("script style noscript iframe template".split())
 SKIPPED, SKIPPED_ROLES = frozenset("nav header footer aside".split()), frozenset("navigation banner contentinfo".split())
 HEADINGS = {f"h{n}": n for n in range(1, 7)}
-ROOTS = ("main", "article", "#content", "#main", ".content", ".main-content")
-ROOT_WORDS, SECTION_CHARS, OWNED_ITEMS = 200, 30, 5
+#: Selectors of the content root, in order, and ids of an application's mount node.
+ROOTS = (
+    "main", "article", "role=main", "#content", "#main", "#main-content", "#article-body", "#post-body", "#entry-content", "#page-content",
+    ".content", ".main-content", ".post-content", ".article-body", ".entry-content", ".post-body", ".container",
+)
+MOUNTS = ("root", "app", "__next", "__nuxt")
+#: Parts of an image's source or alternative text that mark it as decoration.
+DECORATIVE = (
+    "icon", "emoji", "logo", "sprite", "favicon", "spacer", "pixel", "blank.", "transparent.",
+    "confetti", "arrow", "bullet", "chevron", "divider",
+)
+ROOT_WORDS, SECTION_CHARS, OWNED_ITEMS, FRAGMENT_CHARS, DESCRIPTION_CHARS = 200, 30, 5, 3, 60
+#: Repeated children of a card group: least number, least share of all children, and how many are looked at.
+GROUP_LEAST, GROUP_SHARE, GROUP_LOOK = 4, 0.6, 10
 MOST_TABLES, MOST_CARDS, MOST_LINKS = 100, 200, 500
 
+#: Signals of the page classifier, and the points that each gives to a class; ties go to the class named first.
+SIGNALS = (
+    "has_schema_product", "has_schema_article", "has_schema_faq", "has_product_price", "has_article_tag", "has_code_blocks", "has_table_of_contents",
+    "has_card_grid", "has_breadcrumbs", "has_data_table", "has_pagination", "url_is_docs", "url_is_blog", "url_is_product",
+)
+CLASS_POINTS = {
+    "article": {"has_schema_article": 3, "has_article_tag": 2, "url_is_blog": 2, "is_dense": 1},
+    "documentation": {"has_code_blocks": 3, "has_table_of_contents": 2, "url_is_docs": 3},
+    "ecommerce": {"has_schema_product": 3, "has_product_price": 3, "url_is_product": 2, "has_card_grid": 1},
+    "card_listing": {"grid_with_pagination": 3, "grid_without_price": 1},
+    "data_table": {"has_data_table": 3},
+}
+URL_PARTS = {
+    "url_is_docs": ("/docs/", "/documentation/", "/api/", "/reference/"), "url_is_blog": ("/blog/", "/news/", "/post/", "/article/"),
+    "url_is_product": ("/product/", "/item/", "/p/"),
+}
+
 PAGE = (
     "struct<title:string,page_type:string,words:int,scripts:int,main_text:string,links:array<string>,"
+    "signals:struct<" + ",".join(f"{k}:boolean" for k in SIGNALS) + ",content_density:double,link_density:double>,"
     "headings:array<struct<level:int,text:string>>,"
-    "sections:array<struct<heading:string,heading_path:array<string>,content:string>>,"
+    "sections:array<struct<heading:string,heading_path:array<string>,content:string,parts:array<string>>>,"
     "tables:array<struct<heading:string,headers:array<string>,rows:array<array<string>>,row_texts:array<string>>>,"
     "lists:array<struct<type:string,heading:string,items:array<string>>>,"
     "cards:array<struct<name:string,description:string,price:string,text:string,is_product:boolean>>,"
-    "images:array<struct<src:string,alt:string,heading:string>>,json_ld:string,"
+    "images:array<struct<src:string,alt:string,heading:string,is_decorative:boolean>>,json_ld:string,"
     "entities:array<struct<name:string,description:string,price:string,currency:string,sku:string,url:string,entity_type:string>>,"
     "meta:map<string,string>,data_attributes:map<string,array<string>>>"
 )
@@ -72,6 +105,9 @@ class Node:
             yield at
             at = at.parent
 
+    def classes(self) -> list[str]:
+        return (self.attrs.get("class") or "").split()
+
     def has_class(self, word: str) -> bool:
         return word in (self.attrs.get("class") or "").lower()
 
@@ -161,52 +197,280 @@ def _skipped(node: Node) -> bool:
     return any(a.tag in SKIPPED or a.attrs.get("role") in SKIPPED_ROLES for a in (node, *node.above()))
 
 
+def _selects(rule: str, node: Node) -> bool:
+    if rule.startswith("role="):
+        return node.attrs.get("role") == rule[5:]
+    if rule[0] == "#":
+        return node.attrs.get("id") == rule[1:]
+    return rule[1:] in node.classes() if rule[0] == "." else node.tag == rule
+
+
 def _root(tree: Node) -> Node:
     for rule in ROOTS:
-        key = {"#": "id", ".": "class"}.get(rule[0])
         for node in tree.walk():
-            if isinstance(node, Node) and (rule[1:] in node.attrs.get(key, "").split() if key else node.tag == rule) and len(node.text().split()) >= ROOT_WORDS:
+            if isinstance(node, Node) and _selects(rule, node) and len(node.text().split()) >= ROOT_WORDS:
                 return node
     return next(iter(tree.find("body")), tree)
 
 
-def sections(root: Node, title: str, data: set[int]) -> list[dict]:
-    """Text between headings: at least SECTION_CHARS characters, each text once, with its path in front."""
-    path: list[tuple[int, str]] = []
+def _heading_like(text: str) -> bool:
+    low = text.lower()
+    return 0 < len(text) <= 120 and not any(p in low for p in NOT_HEADINGS) and not re.match(r"\d{4}-\d{2}-\d{2}|[A-Z][a-z]+ \d{1,2}, \d{4}", text)
+
+
+def _junk(text: str) -> bool:
+    return len(text.strip()) <= 1 or re.fullmatch(r"""[.,;:!?()\[\]{}"' \n\t]*""", text) is not None
+
+
+def _decorative(text: str, parent: Node) -> bool:
+    """A short fragment that is no word, alone in a div without class."""
+    if parent.tag != "div" or parent.attrs.get("class") or len(text) > FRAGMENT_CHARS or text.isalpha():
+        return False
+    return not parent.find("p", "span", "a", "img", "svg", "ul", "ol", "table")
+
+
+def _key(content: str) -> str:
+    return hashlib.md5(re.sub(r"\s+", " ", content).strip().lower().encode()).hexdigest()
+
+
+def _section(heading: str, path: list[str], body: str) -> dict:
+    return {"heading": heading, "heading_path": path, "content": f"[{' > '.join(path)}]\n\n{body}", "parts": None}
+
+
+def prose_sections(root: Node, title: str, data: set[int]) -> list[dict]:
+    """Text between headings, with the path of headings in front: the title first, cut at each heading's level."""
+    path, heading = [title], title
     found, seen, held = [], set(), []
 
     def flush():
-        content = "\n".join(merge_labels(held)).strip()
+        body = "\n".join(merge_labels(held)).strip()
         held.clear()
-        key = hashlib.md5(re.sub(r"\s+", " ", content).strip().lower().encode()).hexdigest()
-        if len(content) >= SECTION_CHARS and key not in seen:
+        if len(body) >= SECTION_CHARS and not _junk(body) and (key := _key(body)) not in seen:
             seen.add(key)
-            names = [t for _, t in path]
-            found.append({"heading": names[-1] if names else title, "heading_path": names, "content": (f"[{' > '.join(names)}]\n\n" if names else "") + content})
+            found.append(_section(heading, list(dict.fromkeys(path)), body))
 
     for x in root.walk():
         if isinstance(x, Node):
-            if x.tag in HEADINGS and not _skipped(x) and (text := x.text()):
+            if x.tag in HEADINGS and not _skipped(x) and _heading_like(name := x.text()):
                 flush()
-                while path and path[-1][0] >= HEADINGS[x.tag]:
-                    path.pop()
-                path.append((HEADINGS[x.tag], text))
-        elif x[0].strip() and not any(a.tag in HEADINGS for a in (x[1], *x[1].above())) and not _skipped(x[1]) and not _owned(x[1], data):
-            held.append(re.sub(r"\s+", " ", x[0]).strip())
+                heading, path = name, path[: HEADINGS[x.tag] - 1] + [name]
+        elif (piece := x[0].strip()) and not any(a.tag in HEADINGS for a in (x[1], *x[1].above())) and not _skipped(x[1]) and not _owned(x[1], data) and not _decorative(piece, x[1]):
+            held.append(re.sub(r"\s+", " ", piece))
     flush()
     return found
 
 
-def json_ld_text(value, depth: int = 0, name: str = "") -> list[str]:
-    """Lines of a JSON-LD value: three levels, ten items of a list, values of 1 to 500 characters."""
+def _how_to_part(node: Node) -> str:
+    if node.tag == "p":
+        return t if len(t := node.text()) > 5 else ""
+    if node.tag in ("ul", "ol"):
+        return "\n".join(f"• {t}" for li in node.kids("li") if (t := li.text()))
+    if node.tag == "div" and node.find("p", "li"):
+        return node.text("\n")
+    if node.tag == "table":
+        rows = [", ".join(c.text() for c in r.kids("td", "th")) for r in node.find("tr")]
+        return "\n".join([f"Headers: {rows[0]}", *rows]) if rows else ""
+    return ""
+
+
+def how_to_sections(tree: Node, title: str) -> list[dict]:
+    """What stands beside the second- and third-level headings of the article, up to the next one; headings classed as parts or steps alone, where there are such."""
+    tests = (lambda n: n.tag == "div" and n.attrs.get("id") == "main-content", lambda n: n.tag == "div" and "main-content" in n.classes(), lambda n: n.tag == "div" and n.attrs.get("id") == "article-body", lambda n: n.tag == "div" and "article-body" in n.classes(), lambda n: n.tag == "article", lambda n: n.tag == "main")
+    nodes = lambda root: (x for x in root.walk() if isinstance(x, Node))
+    root = next((n for t in tests for n in nodes(tree) if t(n)), tree)
+    root = next((n for n in nodes(root) if n.tag == "div" and "steps" in n.classes()), root)
+    heads = root.find("h2", "h3")
+    heads = [h for h in heads if re.search("part|step", h.attrs.get("class", ""), re.I)] or heads
+    out = []
+    for head in heads:
+        beside = head.parent.kids()
+        after = beside[next(k for k, n in enumerate(beside) if n is head) + 1 :]
+        stop = next((k for k, n in enumerate(after) if n.tag in ("h2", "h3")), len(after))
+        parts = [t for n in after[:stop] if (t := _how_to_part(n))]
+        if parts and (name := head.text()):
+            out.append(_section(name, [title, name], "\n\n".join(parts)))
+    return out
+
+
+def card_group(container: Node) -> list[Node]:
+    """The first repeated children below a node that look like cards: alike in tag and classes, with a link, a heading or a price in half of those looked at."""
+    for box in container.find("div", "ul", "section"):
+        kids = box.kids()
+        kind = lambda n: (n.tag, " ".join(sorted(n.classes())))
+        if len(kids) < GROUP_LEAST:
+            continue
+        top, n = Counter(map(kind, kids)).most_common(1)[0]
+        if n < GROUP_LEAST or n / len(kids) < GROUP_SHARE:
+            continue
+        alike = [k for k in kids if kind(k) == top]
+        looked = alike[:GROUP_LOOK]
+        good = sum(len(t := c.text("")) >= 10 and (any(a.attrs.get("href") is not None for a in c.find("a")) or bool(c.find(*HEADINGS)) or re.search(r"[$£€]\s?\d", t) is not None) for c in looked)
+        if good >= max(1, len(looked) // 2):
+            return alike
+    return []
+
+
+def card_section(card: Node, url: str, title: str) -> dict | None:
+    """A card as a section: its name, and price, description and link as lines."""
+    named = lambda *words: next((x for x in card.walk() if isinstance(x, Node) and any(w in x.attrs.get("class", "") for w in words)), None)
+    first = lambda *tags: next(iter(card.find(*tags)), None)
+    said = lambda n: n.text("") if n else ""
+    whole = card.text("\n")
+    name = said(first(*HEADINGS) or named("title", "name", "model") or first("a")) or next((x.strip() for x in whole.split("\n") if x.strip()), "Card")
+    price = said(named("price") or next((x for x in card.walk() if isinstance(x, Node) and "data-price" in x.attrs), None))
+    told = said(next((x for x in card.walk() if isinstance(x, Node) and (x.tag == "p" or any(w in x.attrs.get("class", "") for w in ("desc", "summary")))), None))
+    href = next((a.attrs["href"] for a in card.find("a") if a.attrs.get("href")), "")
+    site = re.match(r"[^:/?#]+://[^/?#]*", url or "")
+    link = href if href.startswith("http") or not href else (site[0] if site else "://") + href
+    if price or told and told != name:
+        fields = {"Name": name, "Price": price, "Description": told if told.lower() != name.lower() else "", "URL": link}
+        rest = whole
+        for v in (fields["Price"], fields["Description"], link):
+            rest = rest.replace(v, "").strip() if v else rest
+        fields["Details"] = rest if len(rest) > 10 else ""
+        body = "\n".join(f"{k}: {v}" for k, v in fields.items() if v)
+    else:
+        body = whole + (f"\nURL: {link}" if link else "")
+    return None if _junk(body) else _section(name, [title, name], body)
+
+
+def card_sections(root: Node, url: str, title: str) -> list[dict]:
+    out, seen = [], set()
+    for box in (x for x in [root, *root.walk()] if isinstance(x, Node) and x.tag in ("div", "ul", "section", "main", "article")):
+        if not _skipped(box):
+            for card in card_group(box)[:MOST_CARDS]:
+                made = card_section(card, url, title)
+                if made and (key := _key(made["content"])) not in seen:
+                    seen.add(key)
+                    out.append(made)
+    return out
+
+
+def richest(found: list[dict]) -> list[dict]:
+    """Of sections with one last heading the richest, in the place of the first: label lines, words, depth, then the earlier. Texts that repeat go first."""
+    best: dict[str, tuple] = {}
+    seen: set[str] = set()
+    for k, x in enumerate(found):
+        body = x["content"].split("]\n\n", 1)[-1]
+        if (text_key := _key(body)) in seen:
+            continue
+        seen.add(text_key)
+        leaf = (x["heading_path"] or [""])[-1].strip()
+        labels = len(re.findall(r"(?m)^[A-Za-z][A-Za-z' \-]{1,25}:\s*-?[\d,]+(?:\.\d+)?%?\s*$", x["content"]))
+        rank = (labels, len(x["content"].split()), len(x["heading_path"]), -k)
+        key = leaf or f"\0{k}"
+        if key not in best or rank > best[key][1]:
+            best[key] = (best[key][0] if key in best else k, rank, x)
+    return [x for _, _, x in sorted(best.values(), key=lambda v: v[0])]
+
+
+def _named(v):
+    """The name of a described thing, or of each of a list; text as it is."""
+    if isinstance(v, list):
+        return ", ".join(x.get("name", "") if isinstance(x, dict) else str(x) for x in v)
+    return v.get("name") if isinstance(v, dict) else v
+
+
+def _many(v) -> list:
+    return v if isinstance(v, list) else [v] if v else []
+
+
+def _offers(d: dict) -> list[str]:
+    lines = []
+    for o in _many(d.get("offers")):
+        if isinstance(o, dict):
+            price = o.get("price")
+            parts = ["Price:", *([str(price)] if price is not None else []), str(o.get("priceCurrency") or ""), f"({o['availability']})" if o.get("availability") else ""]
+            lines.append(" ".join(p for p in parts if p))
+    return lines
+
+
+def _rating(d: dict) -> list[str]:
+    r = d.get("aggregateRating")
+    if not isinstance(r, dict) or not r.get("ratingValue"):
+        return []
+    n = r.get("reviewCount") or r.get("ratingCount")
+    return [f"Rating: {r['ratingValue']}" + (f" ({n} reviews)" if n else "")]
+
+
+def _image(d: dict) -> list[str]:
+    v = next(iter(_many(d.get("image"))), None)
+    v = v.get("url") if isinstance(v, dict) else v
+    return [f"Image: {v}"] if v else []
+
+
+def _answers(d: dict) -> list[str]:
+    out = []
+    for q in _many(d.get("mainEntity")):
+        if isinstance(q, dict):
+            a = q.get("acceptedAnswer") or {}
+            a = a.get("text", "") if isinstance(a, dict) else str(a)
+            out += [f"{mark}: {t}" for mark, t in (("Q", q.get("name")), ("A", a)) if t]
+    return out
+
+
+def _steps(key: str, line: str, *names: str, head: str = ""):
+    def lines(d: dict) -> list[str]:
+        told = [(k, (next((x[n] for n in names if x.get(n)), "") if isinstance(x, dict) else str(x) if not head == "" else "")) for k, x in enumerate(_many(d.get(key)), 1)]
+        made = [line.format(k, t) for k, t in told if t]
+        return [head, *made] if head and _many(d.get(key)) else made
+
+    return lines
+
+
+def _reviewed(d: dict) -> list[str]:
+    r = d.get("reviewRating")
+    return [f"Rating: {r['ratingValue']}"] if isinstance(r, dict) and r.get("ratingValue") else []
+
+
+def _ingredients(d: dict) -> list[str]:
+    found = d.get("recipeIngredient") or d.get("ingredients") or []
+    return ["Ingredients:", *(f"  - {x}" for x in found)] if isinstance(found, list) and found else []
+
+
+def _leaves(value: dict, depth: int = 0) -> list[str]:
+    """Lines of the plain values of an item of any other type: three levels, ten items of a list, values of 1 to 500 characters."""
     if depth > 3:
         return []
-    if isinstance(value, dict):
-        return [line for k, v in value.items() if k not in ("@context", "@id") for line in json_ld_text(v, depth + 1, k.lstrip("@"))]
-    if isinstance(value, list):
-        return [line for v in value[:10] for line in json_ld_text(v, depth, name)]
-    text = str(value).strip() if value is not None else ""
-    return [f"{name}: {text}" if name else text] if 1 <= len(text) <= 500 else []
+    out = []
+    for k, v in value.items():
+        if k in ("@context", "@id", "potentialAction", "mainEntityOfPage", *LD_TITLES):
+            continue
+        for x in v[:10] if isinstance(v, list) else [v]:
+            if isinstance(x, dict):
+                out += _leaves(x, depth + 1)
+            elif isinstance(x, (str, int, float)) and str(x).strip() and len(str(x)) <= 500:
+                out.append(f"{k}: {x}")
+    return out
+
+
+#: For each kind of JSON-LD item, in the order in which its type is looked for, the lines that tell it: (label, key), or a function.
+LD_TITLES = ("name", "headline", "title", "description", "about", "abstract")
+LD_LINES = {
+    ("product",): (("Brand", "brand"), ("SKU", "sku"), ("GTIN", "gtin"), ("MPN", "mpn"), _rating, ("URL", "url"), _image, _offers),
+    ("recipe",): (*((k, k) for k in ("prepTime", "cookTime", "totalTime", "recipeYield")), _ingredients, _steps("recipeInstructions", "  {}. {}", "text", "name", head="Instructions:")),
+    ("faqpage",): (_answers,),
+    ("howto",): (("TotalTime", "totalTime"), _steps("step", "Step {}: {}", "name", "text")),
+    ("event",): (*((k, k) for k in ("startDate", "endDate", "eventStatus", "eventAttendanceMode")), ("Location", "location"), ("Organizer", "organizer"), _offers),
+    ("review",): (("ItemReviewed", "itemReviewed"), ("Author", "author"), _reviewed, ("Review", "reviewBody")),
+    ("article", "newsarticle", "blogposting"): (
+        ("Author", "author"), ("Publisher", "publisher"), *((k, k) for k in ("datePublished", "dateModified", "articleSection")), ("WordCount", "wordCount"), ("Keywords", "keywords"),
+    ),
+    ("person", "organization"): (("URL", "url"), lambda d: [f"SameAs: {x}" for x in _many(d.get("sameAs"))[:5]]),
+}
+
+
+def json_ld_item(item: dict) -> str:
+    """An item as lines: its type, its titles, and what its kind has to tell."""
+    kind = ", ".join(map(str, _many(item.get("@type"))))
+    lines = [f"Type: {kind}"] * bool(kind) + [f"{k.title()}: {item[k]}" for k in LD_TITLES if item.get(k)]
+    rules = next((r for names, r in LD_LINES.items() if any(n in kind.lower() for n in names)), (_leaves,))
+    for rule in rules:
+        if callable(rule):
+            lines += rule(item)
+        elif told := _named(item.get(rule[1])):
+            lines.append(f"{rule[0]}: {told}")
+    return "\n".join(lines + ([] if _offers in rules else _offers(item)))
 
 
 def json_ld_products(value) -> list[dict]:
@@ -259,7 +523,39 @@ def tolerant_json(text: str | None):
     return None
 
 
-def page_struct(html: str | None) -> dict:
+def page_signals(tree: Node, html: str, url: str, ld: list) -> dict:
+    """The classifier's signals."""
+    nodes = [x for x in tree.walk() if isinstance(x, Node)]
+    part = lambda word, key="class": any(word in n.attrs.get(key, "") for n in nodes)
+    word = lambda *names: any(x in n.classes() for n in nodes for x in names)
+    types = {t for v in ld for x in _many(v) if isinstance(x, dict) for t in [x.get("@type")] if isinstance(t, str)}
+    chars = len("".join(x[0].strip() for x in tree.walk() if isinstance(x, tuple)))
+    return {
+        "has_schema_product": "Product" in types, "has_schema_article": bool(types & {"Article", "BlogPosting"}), "has_schema_faq": "FAQPage" in types,
+        "has_product_price": part("price") or any(n.attrs.get("itemprop") == "price" for n in nodes), "has_article_tag": bool(tree.find("article")),
+        "has_code_blocks": any(p.find("code") for p in tree.find("pre")) or word("highlight", "code-block"), "has_table_of_contents": part("toc") or part("toc", "id") or word("table-of-contents"),
+        "has_card_grid": part("grid") or part("cards"), "has_breadcrumbs": part("breadcrumb"),
+        "has_data_table": any(t in n.classes() for n in tree.find("table") for t in ("price-table", "comparison-table", "features")), "has_pagination": part("pagination") or word("next", "prev"),
+        **{k: any(p in url for p in parts) for k, parts in URL_PARTS.items()},
+        "content_density": chars / max(len(html), 1), "link_density": len(tree.find("a")) / max(chars, 1),
+    }
+
+
+def spa_shell(tree: Node) -> bool:
+    """An application's shell: an empty mount node; a rendered root with under 100 words; under 50 words and more than five scripts."""
+    nodes = [x for x in tree.walk() if isinstance(x, Node)]
+    for name in MOUNTS:
+        first = next((n for n in nodes if n.attrs.get("id") == name), None)
+        if first and not first.text():
+            return True
+    body = next(iter(tree.find("body")), None)
+    words = len(body.text().split()) if body else 0
+    return body is not None and (any("data-reactroot" in n.attrs for n in nodes) and words < 100 or words < 50 and len(tree.find("script")) > 5)
+
+
+def page_struct(html: str | None, url: str | None = None) -> dict:
+    from weft.operators.chunking import split_tokens
+
     tree = parse(html)
     meta = {}
     for m in tree.find("meta"):
@@ -272,6 +568,7 @@ def page_struct(html: str | None) -> dict:
     meta.setdefault("lang", next((h.attrs.get("lang") for h in tree.find("html")), None) or "en")
     first = lambda tag: next((t for n in tree.find(tag) if (t := n.text())), "")
     title = first("title") or first("h1") or meta.get("og:title", "")
+    shell = spa_shell(tree)
     root = _root(tree)
     heading, near = "", {}
     for x in tree.walk():
@@ -299,61 +596,84 @@ def page_struct(html: str | None) -> dict:
 
     body = [x[0].strip() for x in tree.walk() if isinstance(x, tuple) and x[0].strip() and not any(a.tag in NO_TEXT or a.tag in ("header", "footer", "nav", "head") for a in (x[1], *x[1].above()))]
     links = [h for a in tree.find("a") if (h := a.attrs.get("href", "").strip()) and not re.match(r"#|javascript:|mailto:", h, re.I)]
+    data = {id(t) for t, _ in tables}
+    name = title or "Untitled Page"
+    found = [] if shell else richest([*prose_sections(root, name, data), *how_to_sections(tree, name), *card_sections(root, url or "", name)])
+    told = meta.get("description", "").strip()
+    if not shell and len(told) >= DESCRIPTION_CHARS and told not in "\n\n".join(x["content"] for x in found):
+        found.append(_section("Page Description", [name, "Page Description"], told))
+    for x in found:
+        x["parts"] = split_tokens(x["content"])
+    items = [x for v in ld for x in (v if isinstance(v, list) else [v]) if isinstance(x, dict)]
     return {
-        "title": title, "page_type": "sectioned", "words": len(" ".join(body).split()), "scripts": len(tree.find("script")), "main_text": "\n".join(body),
-        "links": list(dict.fromkeys(links))[:MOST_LINKS], "headings": [{"level": HEADINGS[h.tag], "text": h.text()} for h in tree.find(*HEADINGS)],
-        "sections": sections(root, title, {id(t) for t, _ in tables}),
+        "title": title, "page_type": "spa_shell" if shell else "sectioned", "words": len(" ".join(body).split()), "scripts": len(tree.find("script")), "main_text": "\n".join(body),
+        "links": list(dict.fromkeys(links))[:MOST_LINKS], "signals": page_signals(tree, html or "", url or "", ld), "headings": [{"level": HEADINGS[h.tag], "text": h.text()} for h in tree.find(*HEADINGS)],
+        "sections": found,
         "tables": [{"heading": near[id(t)], "headers": d[0], "rows": d[1], "row_texts": ["\n".join(c for c in r if c) for r in d[1]]} for t, d in tables],
         "lists": [{"type": "ordered" if n.tag == "ol" else "unordered", "heading": near[id(n)], "items": [t for li in n.kids("li") if (t := li.text())]} for n in lists],
-        "cards": [card(n) for n in cards], "images": [{"src": i.attrs.get("src", ""), "alt": i.attrs.get("alt", ""), "heading": near[id(i)]} for i in tree.find("img")],
-        "json_ld": "\n".join(line for v in ld for line in json_ld_text(v)), "entities": [e for v in ld for e in json_ld_products(v)], "meta": meta, "data_attributes": data_attributes,
+        "cards": [card(n) for n in cards],
+        "images": [{"src": i.attrs.get("src", ""), "alt": i.attrs.get("alt", ""), "heading": near[id(i)], "is_decorative": any(w in (i.attrs.get("src", "") + " " + i.attrs.get("alt", "")).lower() for w in DECORATIVE)} for i in tree.find("img")],
+        "json_ld": "\n\n".join(t for x in items if (t := json_ld_item(x))), "entities": [e for v in ld for e in json_ld_products(v)], "meta": meta, "data_attributes": data_attributes,
     }
 
 
-def parse_pages(pages: DataFrame, html: str = "html", out: str = "page") -> DataFrame:
-    """``pages`` with the parsed struct ``out`` in place of the html column."""
+def parse_pages(pages: DataFrame, html: str = "html", out: str = "page", url: str | None = "url") -> DataFrame:
+    """``pages`` with the parsed struct ``out`` in place of the html column: one Arrow pass, no text between. ``url``: column that tells the page's kind, if there is one."""
     ship_package(pages.sparkSession)
     rest = [c for c in pages.columns if c not in (html, out)]
+    made = T.StructType.fromDDL(f"x {PAGE}")["x"].dataType
+    kind, places = to_arrow_type(made), [f.name for f in made if isinstance(f.dataType, T.MapType)]
+    at = rest.index(url) if url in rest else None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = b[rest].copy()
-            made[out] = [json.dumps(page_struct(h)) for h in b[html]]
-            yield made
+            urls = b.column(at).to_pylist() if at is not None else [None] * b.num_rows
+            structs = [page_struct(h, u) for h, u in zip(b.column(len(rest)).to_pylist(), urls)]
+            for x in structs:
+                x.update({k: list(x[k].items()) for k in places})
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(structs, kind)], [*rest, out])
 
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest) + f", `{out}` string"
-    return pages.select(*rest, html).mapInPandas(run, schema).withColumn(out, F.from_json(out, PAGE))
+    schema = T.StructType([*(pages.schema[c] for c in rest), T.StructField(out, made)])
+    return pages.select(*rest, html).mapInArrow(run, schema)
 
 
 def needs_rendering(page: Column) -> Column:
-    """An application shell: hardly any words beside scripts."""
-    return (page["words"] < 50) & (page["scripts"] > 5) | (page["words"] < 5)
-
-
-#: Weights of a page's signals for each class, in the order that breaks ties.
-PAGE_CLASSES = {
-    "article": {"sections": 1.0, "long_text": 2.0}, "listing": {"lists": 2.0, "cards": 2.0, "links": 1.0}, "product": {"price": 2.0, "entities": 3.0},
-    "table": {"tables": 3.0}, "landing": {"images": 1.0},
-}
+    return page["page_type"] == "spa_shell"
 
 
 def page_class(page: Column) -> Column:
-    """The class with the greatest weighted signals; the first of equals."""
-    signals = {
-        "sections": F.size(page["sections"]) >= 2, "long_text": page["words"] > 300, "lists": F.size(page["lists"]) >= 2, "cards": F.size(page["cards"]) > 2,
-        "links": F.size(page["links"]) > 30, "price": page["main_text"].rlike(r"[$€£]\s*\d"), "entities": F.size(page["entities"]) > 0,
-        "tables": F.size(page["tables"]) > 0, "images": F.size(page["images"]) > 3,
-    }
+    """The class with the most points; the first named of equals."""
+    s = page["signals"]
+    holds = {k: s[k] for k in SIGNALS}
+    holds |= {"is_dense": s["content_density"] > 0.3, "grid_with_pagination": s["has_card_grid"] & s["has_pagination"], "grid_without_price": s["has_card_grid"] & ~s["has_product_price"]}
     scores = []
-    for k, (name, weights) in enumerate(PAGE_CLASSES.items()):
-        total = F.lit(0.0)
-        for s, w in weights.items():
-            total = total + F.when(signals[s], F.lit(w)).otherwise(0.0)
+    for k, (name, points) in enumerate(CLASS_POINTS.items()):
+        total = sum((F.when(holds[x], n).otherwise(0) for x, n in points.items()), F.lit(0))
         scores.append(F.struct(total.alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("name")))
     return F.array_max(F.array(*scores))["name"]
 
 
-def blocked(status: Column, html: Column) -> Column:
-    """What stands in the way of a fetched page: login, challenge, blocked, or null."""
-    low = F.lower(F.coalesce(html, F.lit("")))
-    return F.when(status.isin(401, 403) & low.rlike("captcha|challenge|verify you are human"), "challenge").when(status.isin(401, 407), "login").when(status.isin(403, 429, 503), "blocked").when(low.rlike(r"<input[^>]+type=[\"']password"), "login").when(low.rlike("verify you are human|checking your browser"), "challenge")
+#: Phrases of challenge pages and of pages that block.
+CHALLENGES = (
+    "cf-browser-verification", "challenge-platform", "turnstile.api", "cloudflare-challenge", "cf-chl-widget", "cf_captcha", "captcha-bypass",
+    "checking your browser", "please wait while your request is being verified", "verify you are human", "cf_clearance", "just a moment", "cf-ray",
+    "data-cf-beacon", "cf-turnstile",
+)
+BLOCK_PHRASES = (
+    "request blocked", "access denied", "you have been blocked", "ip address blocked", "suspicious activity", "automated request",
+    "our systems have detected", "unusual traffic", "ddos protection", "access to this page has been denied", "waf", "challenge", "please verify you are human",
+)
+
+
+def blocked(status: Column, html: Column, headers: Column | None = None) -> Column:
+    """What stands in the way of a fetched page: denied, challenge, captcha, rate_limited, firewall, or null. headers: a map of strings."""
+    page = F.coalesce(html, F.lit(""))
+    low = F.lower(page)
+    holds = lambda phrases: F.exists(F.array(*map(F.lit, phrases)), lambda p: low.contains(p))
+    out = F.when(status.isin(401, 403), "denied").when(holds(CHALLENGES), "challenge").when(page.rlike(r"(?i)<[^>]*class=[\"'][^\"']*captcha[^\"']*[\"']"), "captcha")
+    if headers is not None:
+        low_headers = F.transform_values(F.transform_keys(headers, lambda k, _: F.lower(k)), lambda _, v: F.lower(v))
+        of = lambda name: F.try_element_at(low_headers, F.lit(name))
+        out = out.when(F.coalesce(of("x-ratelimit-remaining") == "0", F.lit(False)) | of("retry-after").isNotNull(), "rate_limited")
+        out = out.when((of("x-amzn-waf-action") == "challenge") | (of("x-cache") == "error from cloudfront"), "firewall")
+    return out.when(holds(BLOCK_PHRASES), "firewall")

@@ -1,10 +1,9 @@
-"""Parsed pages to typed, scored, hashed chunks: one DataFrame a stage, joined by union."""
+"""Parsed pages to typed, scored, hashed chunks: one array of chunks a page, exploded once."""
 
 from __future__ import annotations
 
 import re
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,32 +54,64 @@ def split_column(content: pd.Series) -> pd.Series:
     return content.map(lambda c: split_tokens(c or ""))
 
 
-def plain_chunks(content: str, most: int = 500) -> list[dict]:
-    """Chunks of plain text with markdown headings: a chunk ends at a heading and carries the path of the heading that ends it; long ones are split, short ones left out."""
-    path: list[tuple[int, str]] = []
-    out, held = [], []
+#: Standalone lines that are dropped, and whole chunks that are.
+BOILERPLATE_LINES = (
+    r"^©?\s*[^\n]*all rights reserved\s*$", r"^\s*(follow us|contact us|privacy policy|terms of service)\s*$",
+    r"^\s*\[?(follow us|privacy policy|terms of service)\]?\s*$",
+)
+BOILERPLATE_CHUNKS = (
+    r"^©?\s*[^\n]*all rights reserved$", r"^(follow us|contact us|privacy policy|terms of service)$",
+    r"^\[?(follow us|privacy policy|terms of service)\]?\b", r"^(home|about us|services|company|menu|navigation)$",
+)
+PLAIN_CHUNK = "array<struct<chunk_index:int,heading_path:array<string>,content:string,token_count:int>>"
+
+
+def is_useful(content: str) -> bool:
+    """At least 8 words and 40 characters, and no known phrase."""
+    plain = re.sub(r"\s+", " ", content).strip().lower()
+    return len(plain.split()) >= 8 and len(plain) >= 40 and not any(re.search(p, plain) for p in BOILERPLATE_CHUNKS)
 
-    def flush():
-        body = "\n".join(held).strip()
-        held.clear()
-        words = body.split()
-        step = most - OVERLAP
-        parts = [body] if len(words) <= 1.5 * most else [" ".join(words[i : i + most]) for i in range(0, max(1, len(words) - OVERLAP), step)]
-        out.extend({"heading_path": [t for _, t in path], "content": p} for p in parts if len(p.split()) >= 8 and len(p) >= 40)
 
-    for line in content.split("\n"):
-        m = re.match(r"^(#{1,6})\s+(.*)", line)
+def plain_chunks(content: str, most: int = 500) -> list[dict]:
+    """Chunks of plain text with markdown headings.
+
+    A chunk ends at a heading and carries the path of the heading that ends it.
+    Texts of over one and a half times ``most`` words are cut to overlapping
+    windows; boilerplate lines and chunks that are not useful or repeat an
+    earlier text are left out. chunk_index counts before they are.
+    """
+    lines = [x for x in content.split("\n") if not any(re.search(p, x.strip(), re.I) for p in BOILERPLATE_LINES)]
+    path: list[str] = []
+    blocks: list[tuple[list[str], str]] = []
+    held: list[str] = []
+    for line in [*lines, None]:
+        m = re.match(r"(#{1,6})\s+(.+)$", line.strip()) if line is not None else None
         if m:
-            while path and path[-1][0] >= len(m[1]):
-                path.pop()
-            path.append((len(m[1]), m[2].strip()))
-            flush()
-        else:
+            path = path[: len(m[1]) - 1] + [m[2].strip()]
+        if m or line is None:
+            if body := "\n".join(held).strip():
+                blocks.append((path, body))
+            held = []
+        elif line.strip() or held:
             held.append(line)
-    flush()
+    step, parts = most - OVERLAP, []
+    for at, body in blocks:
+        words = body.split()
+        windows = [body] if len(words) <= 1.5 * most else [" ".join(words[i : i + most]) for i in range(0, len(words), step)]
+        parts += [(at, w) for w in windows]
+    out, seen = [], set()
+    for k, (at, body) in enumerate(parts):
+        key = re.sub(r"\s+", " ", body).strip().lower()
+        if is_useful(body) and key not in seen:
+            seen.add(key)
+            out.append({"chunk_index": k, "heading_path": at, "content": body, "token_count": len(body.split())})
     return out
 
 
+def plain_chunk_column(content: Column) -> Column:
+    return F.pandas_udf(lambda c: c.map(lambda x: plain_chunks(x or "")), PLAIN_CHUNK)(content)
+
+
 def entity_type(content: Column, chunk_type: Column, ner: Column | None = None) -> Column:
     """Structure, then keywords, then what a name finder says (if any), then content."""
     low = F.lower(content)
@@ -107,76 +138,90 @@ def dominant_label(labels: Column) -> Column:
     return F.when(top["n"] / F.size(labels) >= 0.34, top["label"])
 
 
-def _stage(rows: DataFrame, stage: int, key: str, position: Column, content: Column, kind: str, entity: Column, path: Column, ordinal: Column | None = None, flags: tuple[bool, bool, bool, bool] = (False,) * 4) -> DataFrame:
-    table, listed, images, structured = (F.lit(x) for x in flags)
-    return rows.select(
-        key, F.lit(stage).alias("stage"), position.alias("place"), content.alias("content"), F.lit(kind).alias("chunk_type"), entity.alias("entity_type"),
-        path.alias("heading_path"), (F.lit(None).cast("int") if ordinal is None else ordinal.cast("int")).alias("ordinal_index"), table.alias("has_table"), listed.alias("has_list"), images.alias("has_images"), structured.alias("has_structured_data"),
-    )
+CHUNK_FLAGS = ("has_table", "has_list", "has_images", "has_structured_data")
+
+
+def _chunk(content: Column, kind: str, entity: Column, path: Column, ordinal: Column | None = None, *flags: str) -> Column:
+    held = [F.lit(name.removeprefix("has_") in flags).alias(name) for name in CHUNK_FLAGS]
+    at = F.lit(None).cast("int") if ordinal is None else ordinal.cast("int")
+    return F.struct(content.alias("content"), F.lit(kind).alias("chunk_type"), entity.alias("entity_type"), path.alias("heading_path"), at.alias("ordinal_index"), *held)
 
 
 def page_chunks(parsed: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
-    """Chunks of parsed pages in stages: sections, tables with rows, lists with items, cards, structured data with entities, fallback, page summary.
+    """Chunks of parsed pages in stages: sections, tables with rows, lists with items, cards, images, structured data with entities, product page, fallback, page summary.
 
-    Adds chunk_index, hash, SimHash, word counts, density, relevance and quality.
-    Rows of a table and items of a list carry their position as ordinal_index
-    where the collection is large enough (3 rows, 8 items).
+    Each page's chunks are one array, made by column expressions and exploded
+    once. Adds chunk_index, hash, SimHash, word counts, density, relevance and
+    quality. Rows of a table and items of a list carry their position as
+    ordinal_index where the collection is large enough (3 rows, 8 items).
     """
     p = F.col("page")
-    base = parsed.withColumn("title", F.coalesce(F.nullif(p["title"], F.lit("")), F.lit("Untitled Page")))
-    title, at = F.col("title"), lambda *c: F.struct(*(x.cast("int") for x in c))
-
-    s = base.select(key, "title", F.posexplode("page.sections").alias("i", "s")).select("*", F.size(split_column(F.col("s.content"))).alias("n"), F.posexplode(split_column(F.col("s.content"))).alias("j", "part"))
-    suffix = F.when(F.col("n") > 1, F.format_string("Part %d of %d", F.col("j") + 1, F.col("n")))
-    stages = [_stage(s, 1, key, at(F.col("i"), F.col("j")), F.col("part"), "section", entity_type(F.col("s.content"), F.lit("section")), text.heading_path(F.col("s.heading_path"), F.col("s.heading"), title, suffix))]
-
-    t = base.select(key, "title", F.posexplode("page.tables").alias("i", "t"))
-    t_path = text.heading_path(F.array().cast("array<string>"), F.col("t.heading"), title)
-    first = F.transform(F.slice("t.row_texts", 1, 3), lambda x, k: F.concat(F.lit("  Row "), (k + 1).cast("string"), F.lit(": "), text.squeeze(x)))
-    n = F.size("t.row_texts")
-    summary = F.concat_ws("\n", F.when(F.size("t.headers") > 0, F.concat(F.lit("Columns: "), F.array_join("t.headers", " | "))), F.concat(F.lit("Rows: "), n.cast("string")), F.array_join(first, "\n"), F.when(n > 3, F.format_string("  ... (%d more rows)", n - 3)))
-    stages.append(_stage(t, 2, key, at(F.col("i"), F.lit(-1)), summary, "table_summary", F.lit("table"), t_path, None, (True, False, False, False)))
-    kept = F.filter("t.row_texts", lambda x: ~text.is_empty(x))
-    r = t.select("*", F.size(kept).alias("n"), F.posexplode(kept).alias("j", "row"))
-    content = F.concat(F.format_string("Table: %s — Row %d of %d\n", title, F.col("j") + 1, F.col("n")), F.col("row"))
-    stages.append(_stage(r, 2, key, at(F.col("i"), F.col("j")), content, "table_row", row_entity(title, F.col("t.heading"), F.col("t.headers")), F.concat(t_path, F.array(F.format_string("Row %d", F.col("j") + 1))), F.when(F.col("n") >= 3, F.col("j")), (True, False, False, False)))
-
-    lists = base.select(key, "title", F.posexplode("page.lists").alias("i", "l")).where(F.size("l.items") > 0)
-    l_path, m = text.heading_path(F.array().cast("array<string>"), F.col("l.heading"), title), F.size("l.items")
-    lines = F.transform("l.items", lambda x, k: F.concat(F.lit("  "), (k + 1).cast("string"), F.lit(". "), x))
-    stages.append(_stage(lists, 3, key, at(F.col("i"), F.lit(-1)), F.concat(F.lit("List type: "), F.col("l.type"), F.format_string("\nItems (%d):\n", m), F.array_join(lines, "\n")), "list", F.lit("list"), l_path, None, (False, True, False, False)))
-    items = lists.select("*", m.alias("n"), F.posexplode("l.items").alias("j", "item"))
-    items = items.where(F.length(F.trim("item")) >= F.when(F.col("n") >= PROMOTED_ITEMS, ITEM_FLOOR).otherwise(ITEM_CHARS))
-    stages.append(_stage(items, 3, key, at(F.col("i"), F.col("j")), F.concat(F.format_string("List item %d of %d\n", F.col("j") + 1, F.col("n")), F.trim("item")), "list_item", F.lit("list_item"), F.concat(l_path, F.array(F.format_string("Item %d", F.col("j") + 1))), F.when(F.col("n") >= 8, F.col("j")), (False, True, False, False)))
-
-    c = base.select(key, "title", F.posexplode("page.cards").alias("i", "c"))
+    title = F.coalesce(F.nullif(p["title"], F.lit("")), F.lit("Untitled Page"))
+    none = F.array().cast("array<string>")
+    plus = lambda path, part: F.concat(path, F.array(part))
+    number = lambda form, *n: F.format_string(form, *n)
     named = lambda label, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{label}: "), v))
-    card = F.concat_ws("\n", named("Card", F.col("c.name")), named("Description", F.col("c.description")), named("Price", F.col("c.price")), named("Text", F.col("c.text")))
-    guess = entity_type(card, F.lit("text"))
-    stages.append(_stage(c, 4, key, at(F.col("i"), F.lit(0)), card, "card", F.when(F.col("c.is_product"), "product").when(guess == "content", "card").otherwise(guess), text.heading_path(F.array().cast("array<string>"), F.col("c.name"), title)))
-
-    d = base.where(F.coalesce(p["json_ld"], F.lit("")) != "")
-    stages.append(_stage(d, 5, key, at(F.lit(0), F.lit(0)), F.concat(F.lit("Structured Data (Schema.org):\n"), p["json_ld"]), "structured_data", F.lit("structured_data"), F.array(title, F.lit("Structured Data")), None, (False, False, False, True)))
-    e = base.select(key, "title", F.posexplode("page.entities").alias("i", "e"))
-    entity = F.concat_ws("\n", *(named(label, F.col(f"e.{f}")) for label, f in (("Name", "name"), ("Description", "description"), ("Price", "price"), ("Currency", "currency"), ("SKU", "sku"), ("URL", "url"))))
-    stages.append(_stage(e, 5, key, at(F.col("i"), F.lit(1)), entity, "mixed", F.col("e.entity_type"), F.array(title, F.initcap("e.entity_type")), None, (False, False, False, True)))
-
-    empty = (F.size(p["sections"]) == 0) & (F.size(p["tables"]) == 0) & (F.size(p["lists"]) == 0) & (F.size(p["cards"]) == 0) & (F.coalesce(p["json_ld"], F.lit("")) == "")
-    stages.append(_stage(base.where(empty), 8, key, at(F.lit(0), F.lit(0)), p["main_text"], "content", entity_type(p["main_text"], F.lit("")), F.array(title)))
-    tops = F.array_join(F.transform(F.slice(p["sections"], 1, 3), lambda x: x["heading"]), " | ")
-    told = F.concat_ws("\n", F.concat(F.lit("Page: "), title), named("URL", F.col(url)), F.format_string("Contains: %d sections, %d tables, %d lists, %d cards", *(F.size(p[x]) for x in ("sections", "tables", "lists", "cards"))), named("Top sections", tops))
-    stages.append(_stage(base, 9, key, at(F.lit(0), F.lit(0)), told, "summary", F.lit("summary"), F.array(title)))
 
-    out = stages[0]
-    for s in stages[1:]:
-        out = out.unionByName(s)
-    return score(out.where(~text.is_empty(F.col("content"))).withColumn("chunk_index", F.row_number().over(Window.partitionBy(key).orderBy("stage", "place")) - 1).drop("stage", "place"))
+    def of_section(x: Column) -> Column:
+        n = F.size(x["parts"])
+        kind = entity_type(x["content"], F.lit("section"))
+        return F.transform(x["parts"], lambda part, j: _chunk(part, "section", kind, text.heading_path(x["heading_path"], x["heading"], title, F.when(n > 1, number("Part %d of %d", j + 1, n)))))
+
+    def of_table(x: Column) -> Column:
+        path, n = text.heading_path(none, x["heading"], title), F.size(x["row_texts"])
+        first = F.transform(F.slice(x["row_texts"], 1, 3), lambda r, k: F.concat(number("  Row %d: ", k + 1), text.squeeze(r)))
+        lines = F.array(F.when(F.size(x["headers"]) > 0, F.concat(F.lit("Columns: "), F.array_join(x["headers"], " | "))), F.concat(F.lit("Rows: "), n.cast("string")), F.array_join(first, "\n"), F.when(n > 3, number("  ... (%d more rows)", n - 3)))
+        summary = _chunk(F.array_join(F.filter(lines, lambda v: v.isNotNull()), "\n"), "table_summary", F.lit("table"), path, None, "table")
+        kept = F.filter(x["row_texts"], lambda r: ~text.is_empty(r))
+        kind, m = row_entity(title, x["heading"], x["headers"]), F.size(kept)
+        rows = F.transform(kept, lambda r, j: _chunk(F.concat(number("Table: %s — Row %d of %d\n", title, j + 1, m), r), "table_row", kind, plus(path, number("Row %d", j + 1)), F.when(m >= 3, j), "table"))
+        return F.concat(F.array(summary), rows)
+
+    def of_list(x: Column) -> Column:
+        path, n = text.heading_path(none, x["heading"], title), F.size(x["items"])
+        lines = F.array_join(F.transform(x["items"], lambda v, k: F.concat(number("  %d. ", k + 1), v)), "\n")
+        whole = _chunk(F.concat(F.lit("List type: "), x["type"], number("\nItems (%d):\n", n), lines), "list", F.lit("list"), path, None, "list")
+        items = F.transform(x["items"], lambda v, j: _chunk(F.concat(number("List item %d of %d\n", j + 1, n), F.trim(v)), "list_item", F.lit("list_item"), plus(path, number("Item %d", j + 1)), F.when(n >= 8, j), "list"))
+        long = F.transform(x["items"], lambda v: F.length(F.trim(v)) >= F.when(n >= PROMOTED_ITEMS, ITEM_FLOOR).otherwise(ITEM_CHARS))
+        kept = F.transform(F.filter(F.arrays_zip(items.alias("c"), long.alias("k")), lambda z: z["k"]), lambda z: z["c"])
+        return F.when(n > 0, F.concat(F.array(whole), kept)).otherwise(F.array().cast(items_type))
+
+    def of_card(x: Column) -> Column:
+        told = F.array_join(F.filter(F.array(named("Card", x["name"]), named("Description", x["description"]), named("Price", x["price"]), named("Text", x["text"])), lambda v: v.isNotNull()), "\n")
+        guess = entity_type(told, F.lit("text"))
+        return _chunk(told, "card", F.when(x["is_product"], "product").when(guess == "content", "card").otherwise(guess), text.heading_path(none, x["name"], title))
+
+    def of_image(x: Column) -> Column:
+        told = F.array_join(F.filter(F.array(named("Image", x["alt"]), named("Section", x["heading"]), named("Source", x["src"])), lambda v: v.isNotNull()), "\n")
+        return _chunk(told, "image", F.lit("image"), text.heading_path(none, x["heading"], title), None, "images")
+
+    def of_entity(x: Column) -> Column:
+        fields = (("Name", "name"), ("Description", "description"), ("Price", "price"), ("Currency", "currency"), ("SKU", "sku"), ("URL", "url"))
+        told = F.array_join(F.filter(F.array(*(named(label, x[f]) for label, f in fields)), lambda v: v.isNotNull()), "\n")
+        return _chunk(told, "mixed", x["entity_type"], F.array(title, F.initcap(x["entity_type"])), None, "structured_data")
+
+    items_type = "array<struct<content:string,chunk_type:string,entity_type:string,heading_path:array<string>,ordinal_index:int,has_table:boolean,has_list:boolean,has_images:boolean,has_structured_data:boolean>>"
+    has_ld = F.coalesce(p["json_ld"], F.lit("")) != ""
+    empty = (F.size(p["sections"]) == 0) & (F.size(p["tables"]) == 0) & (F.size(p["lists"]) == 0) & (F.size(p["cards"]) == 0) & ~has_ld
+    one = lambda chunk, holds: F.filter(F.array(chunk), lambda _: holds).cast(items_type)
+    tops = F.array_join(F.transform(F.slice(p["sections"], 1, 3), lambda x: x["heading"]), " | ")
+    told = F.concat_ws("\n", F.concat(F.lit("Page: "), title), named("URL", F.col(url)), number("Contains: %d sections, %d tables, %d lists, %d cards", *(F.size(p[x]) for x in ("sections", "tables", "lists", "cards"))), named("Top sections", tops))
+    pictures = F.filter(p["images"], lambda x: ~x["is_decorative"] & (F.trim(x["alt"]) != ""))
+    stages = [
+        F.flatten(F.transform(p["sections"], of_section)), F.flatten(F.transform(p["tables"], of_table)), F.flatten(F.transform(p["lists"], of_list)), F.transform(p["cards"], of_card), F.transform(pictures, of_image),
+        one(_chunk(F.concat(F.lit("Structured Data (Schema.org):\n"), p["json_ld"]), "structured_data", F.lit("structured_data"), F.array(title, F.lit("Structured Data")), None, "structured_data"), has_ld),
+        F.transform(p["entities"], of_entity),
+        one(_chunk(p["main_text"], "content", entity_type(p["main_text"], F.lit("")), F.array(title)), empty),
+        one(_chunk(told, "summary", F.lit("summary"), F.array(title)), F.lit(True)),
+    ]
+    whole = F.filter(F.concat(*(x.cast(items_type) for x in stages)), lambda x: ~text.is_empty(x["content"]))
+    return score(parsed.select(key, F.posexplode(whole).alias("chunk_index", "c")).select(key, "chunk_index", "c.*"))
 
 
 def score(chunks: DataFrame) -> DataFrame:
     """Hash, SimHash, counts and scores of chunks (content, chunk_type, entity_type, heading_path, has_* flags)."""
     c, words = F.col("content"), text.word_tokens(F.col("content"))
-    has = [F.col(f"has_{x}") for x in ("table", "list", "images", "structured_data")]
+    has = [F.col(x) for x in CHUNK_FLAGS]
     category = F.lit("main_content")
     return chunks.withColumns({
         "chunk_category": category, "chunk_hash": text.sha256(c), "chunk_simhash": text.chunk_simhash(c), "token_count": text.word_count(c), "information_density": text.information_density(c),
