@@ -117,9 +117,9 @@ def context_prefix(path: Column) -> Column:
 
 
 def word_windows(c: Column, size: int, overlap: int) -> Column:
-    """Overlapping windows of words; the last one ends with the text."""
+    """Overlapping windows of words: one starts at each step while there are words."""
     w, step = words(c), max(1, size - overlap)
-    n = F.greatest(F.ceil((F.size(w) - overlap) / F.lit(float(step))), F.lit(1)).cast("int")
+    n = F.ceil(F.size(w) / F.lit(float(step))).cast("int")
     return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")))
 
 

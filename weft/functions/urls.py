@@ -79,11 +79,38 @@ def input_type(c: Column) -> Column:
     return F.when(t.rlike(r"https?://[^\s]+"), "url").when(asks, "question").otherwise("message")
 
 
+#: Parts of a url that tell the kind of its page, and that mark a login page.
+CONTENT_PARTS = {
+    "documentation": ("/docs/", "/documentation/", "/api/", "/reference/"), "article": ("/blog/", "/news/", "/post/", "/article/"),
+    "ecommerce": ("/product/", "/item/", "/p/", "/shop/"), "data_table": ("/pricing/", "/compare/", "/features/"),
+}
+LOGIN_SEGMENTS = ("login", "signin", "auth", "log-in", "sign-in", "authenticate", "session", "sso", "oauth", "oidc", "saml", "account", "login?redirect")
+LOGIN_QUERIES = ("redirect=login", "returnurl")
+LOGIN_WHITELIST = (
+    "samsung.com", "apple.com", "microsoft.com", "amazon.com", "ebay.com", "google.com", "facebook.com", "twitter.com",
+    "linkedin.com", "github.com", "nvidia.com",
+)
+
+
+def _any(c: Column, parts: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, parts)), lambda p: c.contains(p))
+
+
 def content_type(u: Column) -> Column:
-    """Kind of page by parts of its url."""
-    has = lambda *parts: F.lower(u).rlike("|".join(parts))
-    return F.when(has("docs", "documentation", "/api", "guide"), "docs").when(has("blog", "article", "news", "post"), "article").when(has("shop", "product", "store", "cart"), "ecommerce").when(has("table", "data", "stats"), "data_table").otherwise("general")
+    """Kind of page by whole parts of its url; null where none tells."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for kind, parts in CONTENT_PARTS.items():
+        out = out.when(_any(u, parts), kind)
+    return out
+
+
+def domain(u: Column) -> Column:
+    """Host and port without ``www.``, lower-cased; empty where there is none."""
+    return F.replace(F.lower(F.regexp_extract(F.coalesce(u, F.lit("")), r"^[^:/?#]+://([^/?#]*)", 1)), F.lit("www."), F.lit(""))
 
 
 def looks_like_login(u: Column) -> Column:
-    return F.coalesce(F.lower(u).rlike(r"[/?&=](login|signin|sign-in|sign_in|auth|sso|oauth)\b"), F.lit(False))
+    """A segment of the path that names a login, or a query that leads back from one, but on well-known sites."""
+    path = F.lower(F.regexp_extract(F.coalesce(u, F.lit("")), r"^(?:[^:/?#]+://[^/?#]*)?([^?#]*)", 1))
+    query = F.lower(F.regexp_extract(F.coalesce(u, F.lit("")), r"^[^?#]*\?([^#]*)", 1))
+    return _any(path, LOGIN_SEGMENTS) | _any(query, LOGIN_QUERIES) & ~domain(u).isin(*LOGIN_WHITELIST)
