@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import text
+from weft.operators.ingest import first
 
 #: Collections (chunk type, entity) by falling preference, and the least size of one.
 PRIORITY = (
@@ -15,9 +16,9 @@ PRIORITY = (
 LEAST_COLLECTION, RANKED_MOST = 5, 60
 
 
-def first_of_each(rows: DataFrame, content: str, order: list) -> DataFrame:
+def first_of_each(rows: DataFrame, content: str, order: list[str]) -> DataFrame:
     """The first row of each content."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(content).orderBy(*order))).where("__n = 1").drop("__n")
+    return first(rows, [content], [F.col(c) for c in order])
 
 
 def collections(rows: DataFrame, kinds: list[str], ordinal: str) -> DataFrame:
@@ -43,11 +44,12 @@ def of_dominant(rows: DataFrame, found: DataFrame, kinds: list[str]) -> DataFram
 
 
 def nth(rows: DataFrame, ordinal: str, n: int, tie: list) -> DataFrame:
-    """The row at position n from 1, or the last for -1; with its rank among the collection's own positions."""
-    own = rows.where(F.col(ordinal).isNotNull()).withColumn("collection_rank", F.dense_rank().over(Window.partitionBy().orderBy(ordinal)))
-    if n < 0:
-        return own.orderBy(F.desc(ordinal), *tie).limit(1)
-    return own.where(F.col(ordinal) == max(0, n - 1)).orderBy(*tie).limit(1)
+    """The row at position n from 1, or the last for -1; with its rank among the collection's own positions: one more than the distinct ones before it."""
+    own = rows.where(F.col(ordinal).isNotNull())
+    found = own.orderBy(F.desc(ordinal), *tie).limit(1) if n < 0 else own.where(F.col(ordinal) == max(0, n - 1)).orderBy(*tie).limit(1)
+    at = found.select(F.col(ordinal).alias("__at"))  # one row
+    before = own.join(F.broadcast(at), own[ordinal] < F.col("__at")).agg((F.countDistinct(ordinal) + 1).alias("collection_rank"))
+    return found.join(F.broadcast(before))
 
 
 def ranked_list(rows: DataFrame, ordinal: str, label: Column, tie: list, most: int = RANKED_MOST) -> DataFrame:

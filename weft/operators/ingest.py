@@ -5,29 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Url states by priority, stages with their share of the progress, retries and time limits of jobs.
+#: Url states by priority, stages with their share of the progress.
 STATUS_PRIORITY = ("completed", "processing", "pending", "failed")
 STAGES = {"crawling": (5, 30), "processing": (30, 60), "chunking": (60, 80), "embedding": (80, 100)}
-RETRIES = {"crawl": 3, "process": 2, "chunk": 2, "summary": 1, "embed": 3}
-TIME_LIMITS = {"crawl": 600, "process": 600, "chunk": 600, "summary": 120, "embed": 900}
 TERMINAL = ("completed", "answered", "failed")
 FAILED_CHUNKS = 3
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Both together, one row for each key: the last by ``order`` (new rows after old ones)."""
+def _pick(rows: DataFrame, keys: list[str], order: list[Column], last: bool) -> DataFrame:
+    """One row for each key by an aggregate that combines before it shuffles."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    best = (F.max_by if last else F.min_by)(F.struct(*rest), F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))))
+    return rows.groupBy(*keys).agg(best.alias("__best")).select(*keys, "__best.*").select(*rows.columns)
+
+
+def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The row of each key with the greatest ``order`` (columns, compared in turn)."""
+    return _pick(rows, keys, order, True)
+
+
+def first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The row of each key with the least ``order``."""
+    return _pick(rows, keys, order, False)
+
+
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Both together, one row for each key: a new one before an old one, then the greatest ``order``."""
     both = target.withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(*keys).orderBy(F.desc("__new"), *order)
-    return both.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__new")
+    return latest(both, keys, [F.col("__new"), *order]).drop("__new")
 
 
-def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows to append: those that the target lacks, the first of each key."""
+    return first(rows.join(target.select(*keys), keys, "left_anti"), keys, order)
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Rows to append: the first of each key that the target lacks."""
-    return latest(rows, keys, order).join(target.select(*keys), keys, "left_anti")
+def insert_counts(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many of the rows insert_ignore inserts and how many it skips."""
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    new = rows.join(target.select(*keys), keys, "left_anti").select(*keys).distinct().agg(F.count(F.lit(1)).alias("inserted"))
+    return total.join(new).select("inserted", (F.col("total") - F.col("inserted")).alias("skipped"))  # one row each
 
 
 def cascade_delete(parents: DataFrame, children: dict[str, DataFrame], doomed: DataFrame, key: str, foreign: str) -> dict[str, DataFrame]:
@@ -92,7 +111,11 @@ def clamp_update(progress: Column, step: Column, error: Column) -> Column:
 
 
 def monotone(events: DataFrame, key: str, stage: Column, progress: str, order: list) -> DataFrame:
-    """Events with the largest (stage, progress) so far, and whether the event itself passes: it is not behind, or it failed, and nothing passes after the end."""
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    point = F.struct(stage.alias("stage_no"), F.col(progress).alias("progress"))
-    return events.withColumn("best", F.max(point).over(so_far)).withColumn("passes", F.col("best") == point)
+    """Events with the largest (stage, progress) before them, and whether each is shown: it is not behind, or it failed, and after completed or answered only those are."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.array_position(F.array(*(F.lit(s) for s in ("pending", *STAGES))), stage), F.lit(0)) - 1
+    ended = stage.isin("completed", "answered")
+    point = F.struct(F.when(stage.isin(*TERMINAL), F.lit(5)).otherwise(place).cast("int").alias("stage_no"), F.coalesce(F.col(progress), F.lit(0)).alias("progress"))
+    best, over = F.max(point).over(before), F.coalesce(F.bool_or(ended).over(before), F.lit(False))
+    shown = (~over | ended) & ((stage == "failed") | F.coalesce(point >= best, F.lit(True)))
+    return events.withColumns({"best": best, "passes": shown})

@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions import text
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(raw: pd.Series, charset: pd.Series) -> pd.Series:
+    def one(data, name):
+        if data is None:
+            return None
+        for attempt in (name, "utf-8"):
+            try:
+                return bytes(data).decode(attempt)
+            except (LookupError, UnicodeDecodeError):
+                pass
+        return bytes(data).decode("latin-1")
+
+    return pd.Series([one(d, n) for d, n in zip(raw, charset)], dtype="object")
+
+
 def decode_html(raw: Column, header: Column | None = None) -> Column:
-    """Bytes to text: the charset of the header, else of a meta tag in the first 2048 bytes, else UTF-8, and Latin-1 where that is not valid."""
+    """Bytes to text: the charset of the header, else of a meta tag in the first 2048 bytes, else UTF-8, and Latin-1 where none of them fits. Only other charsets than UTF-8 leave the JVM."""
     head = F.decode(F.substring(raw, 1, 2048), "ISO-8859-1")
-    named = F.lower(F.coalesce(F.nullif(F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8"))) if header is not None else F.lower(F.coalesce(F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8")))
-    latin = F.decode(raw, "ISO-8859-1")
-    utf8 = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(latin)
-    return F.when(named.isin("iso-8859-1", "latin-1", "latin1", "windows-1252"), latin).when(named == "utf-16", F.decode(raw, "UTF-16")).otherwise(utf8)
+    of = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+    told = of(F.coalesce(header, F.lit("")), r"(?i)charset=[\"']?([\w-]+)") if header is not None else F.lit(None).cast("string")
+    named = F.lower(F.coalesce(told, of(head, r"(?i)<meta[^>]+charset=[\"']?([\w-]+)"), F.lit("utf-8")))
+    plain = named.isin("utf-8", "utf8") & F.is_valid_utf8(raw.cast("string"))
+    return F.coalesce(F.when(plain, raw.cast("string")), _decoded(F.when(~plain, raw), named))
 
 
 def sanitize(c: Column) -> Column:

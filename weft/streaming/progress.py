@@ -11,53 +11,77 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from weft.operators.ingest import STAGES, TERMINAL
 from weft.session import ship_package
 
-ORDER = {name: k for k, name in enumerate((*STAGES, "completed", "answered"))}
-OUT = "chat_id long, event_id long, stage string, progress int, passed boolean"
-STATE = "stage string, progress int"
+#: Order of stages on delivery; the end is one place however it comes.
+ORDER = {"pending": 0, **{name: k for k, name in enumerate(STAGES, 1)}, "completed": 5, "answered": 5, "failed": 5}
+DONE = ("completed", "answered")
+OUT = "chat_id long, event_id long, stage string, progress int, accepted boolean, delivered boolean"
+STATE = "stage string, progress int, seen string, seen_progress int"
 
 
 def overall(stage: str, percent: int) -> int:
     if stage in STAGES:
         low, high = STAGES[stage]
         return low + int(max(0, min(100, percent)) / 100 * (high - low))
-    return 100
+    return 100 if stage in DONE else 0
 
 
-def step(state: tuple[str, int] | None, stage: str, percent: int) -> tuple[tuple[str, int], bool]:
-    """(new state, whether the event is delivered).
+def next_state(state: tuple[str, int] | None, stage: str, progress: int) -> tuple[tuple[str, int] | None, bool]:
+    """(state as stored, whether the event changes it).
 
-    Progress never falls. A failure always passes and keeps the last progress.
-    After completed or answered only an ingestion stage opens the chat again;
-    after failed nothing does.
+    An ingestion stage opens a completed or answered chat again, whatever its
+    place; nothing else changes an ended chat. A failure keeps the last
+    progress. No stage gives way to an earlier one, and within a stage progress
+    never falls.
     """
-    if stage == "failed":
-        return ("failed", state[1] if state else 0), True
-    new = (stage, overall(stage, percent))
     if state is None:
-        return new, True
-    if state[0] == "failed":
+        return (stage, progress), True
+    now, reached = state
+    if now in TERMINAL:
+        opens = stage in STAGES and now != "failed"
+        return ((stage, progress), True) if opens else (state, False)
+    if stage == "failed":
+        return (stage, reached), True
+    if ORDER.get(stage, -1) < ORDER.get(now, -1):
         return state, False
-    if state[0] in TERMINAL:
-        return (new, True) if stage in STAGES and stage == "crawling" else (new, True) if (state[0], stage) == ("completed", "answered") else (state, False)
-    behind = (ORDER[stage], new[1]) < (ORDER[state[0]], state[1])
-    return (state, False) if behind else (new, True)
+    return (stage, max(progress, reached) if stage == now else progress), True
+
+
+def deliver(seen: tuple[str, int] | None, stage: str, progress: int) -> tuple[tuple[str, int] | None, bool]:
+    """(last event shown, whether this one is shown): none but an end after completed or answered, no stage or progress behind the last, a failure always."""
+    if seen is not None:
+        if seen[0] in DONE and stage not in DONE:
+            return seen, False
+        if stage != "failed" and (ORDER.get(stage, -1), progress) < (ORDER.get(seen[0], -1), seen[1]):
+            return seen, False
+    return (stage, progress), True
+
+
+def step(state: tuple, stage: str, percent: int) -> tuple[tuple, bool, bool]:
+    """Both rules on one event; state: (stored, shown)."""
+    progress = overall(stage, percent)
+    stored, accepted = next_state(state[0], stage, progress)
+    if stage == "failed" and state[0]:
+        progress = state[0][1]
+    shown, delivered = deliver(state[1], stage, progress)
+    return (stored, shown), accepted, delivered
 
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = tuple(state.get) if state.exists else None
-    for events in batches:
-        rows = []
-        for e in events.sort_values("event_id").itertuples(index=False):
-            now, passed = step(now, e.stage, int(e.percent))
-            rows.append((key[0], e.event_id, now[0], now[1], passed))
-        if rows:
-            yield pd.DataFrame(rows, columns=["chat_id", "event_id", "stage", "progress", "passed"])
-    if now is not None:
-        state.update(now)
+    held = tuple(state.get) if state.exists else (None,) * 4
+    now = tuple((a, b) if a is not None else None for a, b in (held[:2], held[2:]))
+    # a chat's events of one trigger can span batches: they are put in order together
+    events = pd.concat([b[["event_id", "stage", "percent"]] for b in batches]).sort_values("event_id")
+    rows = []
+    for e in events.itertuples(index=False):
+        now, accepted, delivered = step(now, e.stage, int(e.percent))
+        rows.append((key[0], e.event_id, *now[0], accepted, delivered))
+    if rows:
+        yield pd.DataFrame(rows, columns=["chat_id", "event_id", "stage", "progress", "accepted", "delivered"])
+        state.update((*now[0], *(now[1] or (None, None))))
 
 
 def track(events: DataFrame) -> DataFrame:
-    """Events (chat_id, event_id, stage, percent), streaming, to the state after each and whether it is delivered."""
+    """Events (chat_id, event_id, stage, percent), streaming, to the state after each, whether it changed the state and whether it is delivered."""
     ship_package(events.sparkSession)
     return events.groupBy("chat_id").applyInPandasWithState(_update, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
