@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from weft import queries
 from weft.functions import pages, scoring, text, urls
-from weft.operators import chunking, frontier, ingest, retrieval
+from weft.operators import chunking, frontier, ingest, retrieval, router
 from weft.plans import planner
 from weft.sources import files
 from weft.streaming import progress
@@ -70,7 +70,7 @@ def test_text(spark):
     assert one(spark, text.glued_pairs(s("Top 12Rank 7Votes"))) == ["Top", "Rank: 12", "Votes: 7"]
     assert one(spark, text.glued_pairs(s("$12Rank"))) == ["$12Rank"]
     assert [one(spark, text.is_empty(s(x))) for x in ("", " \n", "..", "{{x}}", "[x]", "a")] == [True] * 5 + [False]
-    assert one(spark, text.word_windows(s("a b c d e"), 3, 1)) == ["a b c", "c d e"]
+    assert one(spark, text.word_windows(s("a b c d e"), 3, 1)) == ["a b c", "c d e", "e"]
     assert one(spark, text.mentioned_url(s("see https://x.org/a).")) ) == "https://x.org/a"
     assert one(spark, text.fit_vector(F.array(s(1.0), s(2.0)), 3)) == [1.0, 2.0, 0.0]
     assert one(spark, text.holds_number(s("there are 12 of them"), s(12))) and not one(spark, text.holds_number(s("120"), s(12)))
@@ -98,7 +98,7 @@ def test_page_struct_and_chunks(spark):
     p = pages.page_struct(PAGE)
     assert p["title"] == "Shop" and p["meta"]["lang"] == "de" and p["links"] == ["/a"]
     assert p["entities"][0]["name"] == "Lamp" and p["entities"][0]["price"] == "9.5"
-    assert [s["heading_path"] for s in p["sections"]] == [["Overview"]] or p["sections"][0]["content"].startswith("[Overview]\n\nAn overview")
+    assert p["sections"][0]["heading_path"] == ["Overview"] and p["sections"][0]["content"].startswith("[Overview]\n\nAn overview")
     assert p["tables"][0]["rows"] == [["Country", "Capital"], ["A", "a"], ["B", "b"]] and p["tables"][0]["heading"] == "Table"
     assert pages.merge_labels(["1", "Rank", "15,239", "0", "Mentions"]) == ["Rank: 1", "Mentions: 15,239"]
     assert pages.tolerant_json('```json\n{"a": [1, 2,], "b": "x') == {"a": [1, 2], "b": "x"} and pages.tolerant_json("no") is None
@@ -139,19 +139,30 @@ def test_ingest_and_frontier(spark):
 
 
 def test_progress_automaton():
-    state, passed = None, []
+    state, seen = (None, None), []
     for stage, percent in [("crawling", 50), ("crawling", 10), ("chunking", 0), ("processing", 100), ("failed", 0), ("embedding", 100)]:
-        state, ok = progress.step(state, stage, percent)
-        passed.append(ok)
-    assert passed == [True, False, True, False, True, False] and state == ("failed", 60)
-    assert progress.step(("completed", 100), "crawling", 0) == (("crawling", 5), True) and progress.step(("completed", 100), "chunking", 0)[1] is False
+        state, accepted, delivered = progress.step(state, stage, percent)
+        seen.append((accepted, delivered))
+    assert state[0] == ("failed", 60)
+    assert seen == [(True, True), (True, False), (True, True), (False, False), (True, True), (False, False)]
+    # what is stored: any ingestion stage opens an ended chat, a failure does not overwrite one, nothing opens a failed one
+    assert progress.next_state(("answered", 100), "chunking", 60) == (("chunking", 60), True)
+    assert progress.next_state(("completed", 100), "failed", 0) == (("completed", 100), False)
+    assert progress.next_state(("failed", 60), "crawling", 5) == (("failed", 60), False)
+    # what is shown: after the end only an end
+    assert not progress.deliver(("completed", 100), "crawling", 5)[1] and not progress.deliver(("completed", 100), "failed", 0)[1]
+    assert progress.deliver(("completed", 100), "answered", 100)[1] and progress.deliver(("embedding", 90), "failed", 10)[1]
 
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.html").write_bytes("<meta charset=iso-8859-1>é\0".encode("latin-1"))
     (tmp_path / "b.html").write_bytes("é".encode())
+    (tmp_path / "c.html").write_bytes("<meta charset=windows-1251>мир".encode("windows-1251"))
+    (tmp_path / "d.html").write_bytes("<meta charset=shift_jis>日本".encode("shift_jis"))
+    (tmp_path / "e.html").write_bytes("<meta charset=windows-1252>“q”".encode("windows-1252"))
+    (tmp_path / "f.html").write_bytes("<meta charset=nonsense>\xe9".encode("latin-1"))
     got = sorted(r["html"] for r in files.saved_pages(spark, f"file://{tmp_path}").collect())
-    assert got == ["<meta charset=iso-8859-1>é", "é"]
+    assert got == sorted(["<meta charset=iso-8859-1>é", "é", "<meta charset=windows-1251>мир", "<meta charset=shift_jis>日本", "<meta charset=windows-1252>“q”", "<meta charset=nonsense>é"])
     assert one(spark, files.chunk_file(F.lit("https://x.org/a b"), F.lit("7"))) == "x.org/chunk_https_x.org_a_b_7.txt"
 
 
@@ -171,5 +182,75 @@ def test_queries_against_sql(spark):
 
 
 def test_streams(spark):
-    out = queries.stream_progress(spark, DATA)
-    assert out.count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+    """The stream's rows against the same rules applied to each chat's events in order."""
+    rows = {r["event_id"]: r for r in queries.stream_progress(spark, DATA).collect()}
+    events = sorted(queries.stage_events(spark, DATA).collect(), key=lambda r: r["event_id"])
+    assert len(rows) == len(events)
+    states: dict = {}
+    for e in events:
+        state, accepted, delivered = progress.step(states.get(e["user_id"], (None, None)), e["stage"], e["percent"])
+        states[e["user_id"]] = state
+        r = rows[e["event_id"]]
+        assert (r["stage"], r["progress"], r["accepted"], r["delivered"]) == (*state[0], accepted, delivered)
+
+
+def test_url_rules(spark):
+    kinds = {"https://x.org/docs/a": "documentation", "https://x.org/database/": None, "https://x.org/composter": None, "https://x.org/pricing/": "data_table", "https://x.org/shop/1": "ecommerce", "https://x.org/news/": "article"}
+    assert {u: one(spark, urls.content_type(F.lit(u))) for u in kinds} == kinds
+    logins = {"https://x.org/Sign-In/": True, "https://x.org/my-account": True, "https://x.org/?returnUrl=/": True, "https://www.github.com/?returnurl=/": False, "https://x.org/about": False}
+    assert {u: one(spark, urls.looks_like_login(F.lit(u))) for u in logins} == logins
+
+
+def test_ordinals_are_leftmost(spark):
+    asked = {"what is the 5th item number 12": 5, "the third place 7": 3, "item number 9": 9, "item 0 of 2nd page": None, "the twelfth": 12, "the last one": -1}
+    assert {q: one(spark, planner.ordinal(F.lit(q))) for q in asked} == asked
+
+
+PARTS = """<html><body><article><div class="grid"><div class="x"><h3>One</h3><p>A first description</p><span class="price">$5</span><a href="/1">more</a></div><div class="x"><h3>Two</h3><p>Another text here</p></div>
+<div class="x"><h3>Three</h3><p>Third text of a card</p></div><div class="x"><h3>Four</h3><p>Fourth text of a card</p></div></div><h2 class="step">Mix it</h2><p>Take a bowl.</p><ul><li>egg</li><li>milk</li></ul><h2 class="step">Bake it</h2><table><tr><td>a</td><td>b</td></tr></table></article>
+<script type="application/ld+json">[{"@type": "FAQPage", "mainEntity": {"name": "Why?", "acceptedAnswer": {"text": "So."}}}, {"@type": ["Recipe"], "name": "Cake", "recipeIngredient": ["egg"], "recipeInstructions": ["Mix", {"text": "Bake"}], "offers": {"price": 3, "priceCurrency": "EUR"}}]</script></body></html>"""
+
+
+def test_page_parts(spark):
+    p = pages.page_struct(PARTS, "https://x.org/blog/1")
+    by = {s["heading"]: s["content"] for s in p["sections"]}
+    assert by["One"] == "[Untitled Page > One]\n\nName: One\nPrice: $5\nDescription: A first description\nURL: https://x.org/1"
+    assert by["Mix it"].endswith("Take a bowl.\n\n• egg\n• milk") and by["Bake it"].endswith("Headers: a, b\na, b")
+    assert p["json_ld"] == "Type: FAQPage\nQ: Why?\nA: So.\n\nType: Recipe\nName: Cake\nIngredients:\n  - egg\nInstructions:\n  1. Mix\n  2. Bake\nPrice: 3 EUR"
+    frame = spark.createDataFrame([(1, "https://x.org/blog/1", PARTS), (2, "u", '<body><div id="root"></div></body>')], "page_id long, url string, html string")
+    parsed = pages.parse_pages(frame)
+    got = {r[0]: (r[1], r[2]) for r in parsed.select("page_id", pages.page_class(F.col("page")), pages.needs_rendering(F.col("page"))).collect()}
+    # article: the tag and the url, 4 points; as many for the price and the grid, but it is named first
+    assert got == {1: ("article", False), 2: ("article", True)}
+
+
+def test_page_chunks_parse_once(spark):
+    frame = spark.createDataFrame([(1, "u", PARTS)], "page_id long, url string, html string")
+    plan = chunking.page_chunks(pages.parse_pages(frame))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_plain_chunks():
+    long = " ".join(f"w{i}" for i in range(920))
+    text_ = "Privacy Policy\n# A\n" + long + "\n# B\nshort\n# C\n" + "same words again and again until there are enough of them\n# D\nsame words  again and again until there are enough of them\n"
+    got = chunking.plain_chunks(text_)
+    assert [(c["chunk_index"], c["heading_path"], c["token_count"]) for c in got] == [(0, ["B"], 500), (1, ["B"], 470), (2, ["B"], 20), (4, ["D"], 11)]
+
+
+def test_router(spark):
+    schema = "id long, content string, embedding array<float>, category string, entity string, ordinal int, chunk_type string, information_density double, section_title string, heading_path array<string>, source_url string"
+    row = lambda i, c, v, e="content", cat="main_content": (i, c, v, cat, e, i, "list_item", 1.0, None, [], "https://x.org/a/")
+    chunks = spark.createDataFrame([row(1, "red apple", [1.0, 0.0]), row(2, "green pear", [0.9, 0.1]), row(3, "nothing", [0.0, 1.0], cat="excluded"), row(4, "plum Price: $5", [0.0, 1.0], "product"), row(5, "fig Price: $7", None, "product")], schema)
+    empty = spark.createDataFrame([], "page_id long")
+    rows, about = router.hybrid(router.scoped(chunks), [1.0, 0.0], "zebra")
+    assert about.first()["strategy"] == "vector" and [r["id"] for r in rows.orderBy("rank").collect()][:2] == [1, 2]
+    assert router.hybrid(router.scoped(chunks), [0.0, 0.0], "apple")[1].first().asDict() == {"strategy": "keyword", "lexical": True, "top": 1.0, "gap": 1.0, "confidence": 0.8, "accepted": True}
+    assert router.hybrid(chunks.limit(0), [1.0, 0.0], "apple")[1].first()["accepted"] is False
+    anchored = rows.withColumn("is_anchor", F.lit(False))
+    assert router.may_answer(about, anchored).first()["answer"] is True and router.may_answer(about, anchored.limit(0)).first()["answer"] is False
+    ask = lambda q, **k: [(r["content"], r["result"]) for r in router.answer(q, None, chunks, empty, **k).collect()]
+    assert ask("How many products are there?") == [("Verified result: there are 2 products.", 2.0)]
+    assert ask("How many faqs are there?", source_url="https://x.org/a") == [("Verified result: there are 0 faqs.", 0.0)]
+    assert ask("average price of products") == [("Verified average product price: 6.00 across 2 products.", 6.0)]
+    assert ask("most expensive product")[0][1] == 7.0 and ask("products under $6") == [("Name and price evidence:\nplum Price: $5", 5.0)]
+    assert "closest thing" in one(spark, router.clarification(F.lit("a\nb"), F.lit(None).cast("string"), F.lit("u"), F.lit("e")))
