@@ -11,6 +11,7 @@ blocks. A text's language is the one with the largest mean posterior.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +32,8 @@ ROUNDS = 60
 #: Training sequences are spliced from spans of different documents, of this mean length in words.
 SPAN, SEQUENCE = 25, 200
 _BLOCK = 32
+#: Word types and sequences that training takes at once.
+_TYPES, _SEQUENCES = 50_000, 500
 UNKNOWN = "und"
 
 
@@ -181,7 +184,7 @@ def train(samples: list[tuple[str, str]], rounds: int = ROUNDS, bits: int = FEAT
     spans: list[list[list[str]]] = [[] for _ in langs]
     common = [Counter() for _ in langs]
     for lang, text in sorted(samples):
-        words = letter_words(text)
+        words = list(map(sys.intern, letter_words(text)))
         common[number[lang]].update(words)
         at = 0
         while at < len(words):
@@ -210,21 +213,27 @@ def train(samples: list[tuple[str, str]], rounds: int = ROUNDS, bits: int = FEAT
     types = sorted(set(words))
     place = {w: k for k, w in enumerate(types)}
     ids = np.array([place[w] for w in words])
-    feature, starts = word_features(types, lexicon, bits)
-    owner = np.repeat(np.arange(len(types)), np.diff(np.append(starts, len(feature))))
-    gold = np.zeros((len(tags), labels))
-    gold[np.arange(len(tags)), tags] = 1
-    y = tags.reshape(n, steps)
+    del words, spans, queue, place
+    parts = [word_features(types[k : k + _TYPES], lexicon, bits) for k in range(0, len(types), _TYPES)]
+    feature, before = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.cumsum([0, *(len(f) for f, _ in parts)])
+    starts = np.concatenate([s + b for (_, s), b in zip(parts, before)])
+    del parts
+    owner = np.repeat(np.arange(len(types), dtype=np.int32), np.diff(np.append(starts, len(feature))))
+    y, ids = tags.reshape(n, steps), ids.reshape(n, steps).astype(np.int32)
     gold_pairs = np.zeros((labels, labels))
     np.add.at(gold_pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     gold_pairs += np.bincount(y[:, 0], minlength=labels)[None, :] / labels
     square, square_t = np.full(weights.shape, 1e-6, np.float32), np.full(transitions.shape, 1e-6)
     for _ in range(rounds):  # AdaGrad on the conditional likelihood
-        scores = _sums(weights[feature], starts)[ids].reshape(n, steps, labels).astype(np.float64)
-        marginal, pairs, _ = _pair_posteriors(scores, transitions)
-        by_word = gold - marginal.reshape(-1, labels)
-        by_type = np.stack([np.bincount(ids, by_word[:, k], len(types)) for k in range(labels)], axis=1)
-        grad = np.stack([np.bincount(feature, by_type[owner, k], len(weights)) for k in range(labels)], axis=1) / n - 1e-5 * weights
+        scores = np.concatenate([_sums(weights[feature[starts[k] : starts[k + _TYPES] if k + _TYPES < len(starts) else None]], starts[k : k + _TYPES] - starts[k]) for k in range(0, len(starts), _TYPES)])
+        by_type, pairs = np.zeros((len(types), labels)), np.zeros((labels, labels))
+        for k in range(0, n, _SEQUENCES):  # some sequences and word types at a time: the driver holds little more than the features
+            at = ids[k : k + _SEQUENCES]
+            marginal, some, _ = _pair_posteriors(scores[at].astype(np.float64), transitions)
+            pairs += some
+            for j in range(labels):
+                by_type[:, j] += np.bincount(at.ravel(), ((y[k : k + _SEQUENCES] == j) - marginal[:, :, j]).ravel(), len(types))
+        grad = np.stack([np.bincount(feature, by_type[owner, j], len(weights)) for j in range(labels)], axis=1) / n - 1e-5 * weights
         grad_t = (gold_pairs - pairs) / n - 1e-4 * transitions
         square += grad.astype(np.float32) ** 2
         square_t += grad_t**2

@@ -23,7 +23,7 @@ _PIECE = re.compile(r"\s*\S+|\s+")
 #: White space to Python but not to the tokenizer's pattern.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Pieces kept; when full, the half met most often stays. Pieces of one encoded text.
-_CACHE_PIECES, _CALL_PIECES = 600_000, 50
+_CACHE_PIECES, _CALL_PIECES = 450_000, 50
 #: Characters that are split at once.
 _GROUP_CHARS = 12_000_000
 
