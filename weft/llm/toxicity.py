@@ -13,9 +13,9 @@ commonest ones have a number of their own, the others share the rest by hash.
 
 Counting, the models and scoring all run on executors. Grams of up to three
 characters are counted and smoothed in their own step, which grows with the
-alphabet and not with the corpus. Longer grams meet by the three characters
-before their last, joined with the probability of their last three: with them
-come all of a gram's contexts and longer forms, so the recursion needs no
+alphabet and not with the corpus. Longer grams are joined with the probability
+of their last three characters and dealt by the three before the last: with
+them come all of a gram's contexts and longer forms, so the recursion needs no
 further shuffle. What is handed to every scoring task are the log-ratios of all
 grams and contexts, none dropped, in order of their codes: ten bytes each.
 """
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import arrow_limits, materialize
+from weft.llm.common import arrow_limits, materialize, shuffle_partitions
 from weft.llm.words import Cache, characters, groups, letter_words
 
 ORDER, DISCOUNT = 6, 0.75
@@ -41,6 +41,8 @@ CHAR_BITS, OWN_NUMBERS = 10, 895
 _FIELD = (1 << CHAR_BITS) - 1
 #: Of the labelled documents that may be learned from, one in so many only calibrates, but about this many at most; all others are counted.
 CALIBRATION_PART, CALIBRATION_DOCS = 4, 20_000
+#: Grams that one group of the models is planned for: many contexts, each whole.
+GROUP_GRAMS = 50_000
 WINDOW = 20
 FEATURES = ("mean", "window", "top1", "top2", "top3", "strong", "words")
 
@@ -265,7 +267,7 @@ def _columns(table: pa.Table, *names: str) -> np.ndarray:
 
 
 def _trigrams(table: pa.Table, shared) -> pa.Table:
-    """All trigrams of one context, smoothed by the shared bigrams."""
+    """All trigrams of some contexts, smoothed by the shared bigrams."""
     table = table.sort_by("code")
     code = table.column("code").to_numpy()
     bigrams, probability = shared.value
@@ -275,7 +277,7 @@ def _trigrams(table: pa.Table, shared) -> pa.Table:
 
 
 def _longer(table: pa.Table) -> pa.Table:
-    """All grams of four characters and more with the same three before the last, smoothed by their trigrams."""
+    """All grams of four characters and more of some three characters before the last, smoothed by their trigrams."""
     code = table.column("code").to_numpy()
     lower, at = np.unique(code & _mask(3), return_index=True)
     lower_p = _columns(table, "p_toxic", "p_ordinary")[at]
@@ -301,13 +303,13 @@ def models(grams: DataFrame) -> DataFrame:
     continued_by = grams.where(long).groupBy(suffix(4).alias("code")).agg(*held).select(suffix(3).alias("code"), "toxic", "ordinary")
     begin = grams.where(~long & (F.col("code") > F.lit(_mask(2))))
     threes = begin.unionByName(continued_by).groupBy("code").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    # at most 2**10 rows a context
-    trigrams = threes.groupBy(F.shiftright("code", CHAR_BITS).alias("context")).applyInArrow(lambda t: _trigrams(t, shared), _MADE)
+    n = max(shuffle_partitions(spark), -(-grams.count() // GROUP_GRAMS))
+    dealt = lambda k: F.pmod(F.xxhash64(F.shiftright("code", CHAR_BITS).bitwiseAND(F.lit(_mask(k)))), F.lit(n)).alias("bucket")
+    trigrams = threes.groupBy(dealt(2)).applyInArrow(lambda t: _trigrams(t, shared), _MADE)
     trigrams = materialize(trigrams, "trigrams")
     below = trigrams.where("kind = 0").select(F.col("code").alias("three"), "p_toxic", "p_ordinary")
     joined = grams.where(long).withColumn("three", suffix(3)).join(below, "three")
-    before = F.shiftright("code", CHAR_BITS).bitwiseAND(F.lit(_mask(3)))
-    return trigrams.unionByName(joined.groupBy(before.alias("before")).applyInArrow(_longer, _MADE))
+    return trigrams.unionByName(joined.groupBy(dealt(3)).applyInArrow(_longer, _MADE))
 
 
 def train(labelled: DataFrame, key: str, text_col: str, label_col: str):
