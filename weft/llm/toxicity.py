@@ -366,7 +366,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     arrow_limits(spark)
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__label")).where("__label is not null and __id is not null").groupBy("__id").agg(F.max("__label").alias("__label"))
     rows = docs.where(learn).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    # a list of labels within Spark's broadcast size goes to the texts; else both are dealt by id, behind a runtime filter of the labelled ids
-    shared, curve = train(rows.join(marks, F.col("__doc") == F.col("__id")), "__doc", "__text", "__label")
+    # texts and labels are dealt by id whatever their number: one plan at every size
+    shared, curve = train(rows.join(marks.hint("merge"), F.col("__doc") == F.col("__id")), "__doc", "__text", "__label")
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(lambda it: _score(it, shared, curve), "doc_id long, score double")
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
