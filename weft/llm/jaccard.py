@@ -6,7 +6,16 @@ permutations: at a similarity of 0.8 a pair is missed with a probability of
 verified by its whole shingle sets. Only pairs that are not connected yet are
 compared: all of a small bucket, and in a large one neighbours in a few random
 orders first, which connects a group of near copies by a number of pairs in
-proportion to its rows, then all pairs that are still apart.
+proportion to its rows.
+
+What large buckets still hold apart is joined exactly, whatever the bands: shingles
+are put in one order, those held under one root only first, then the rarest.
+Sets x and y of such a similarity have at least ``LEAST / (1 + LEAST) * (|x| + |y|)``
+shingles in common, so behind the first common one, itself included, both hold as
+many. Only the first ``(1 - LEAST) * |x|`` shingles and one more of a set can be that
+one, and sets with more shingles of their own than that are in no link. Pairs are
+made within a shingle, from sizes and positions alone; a group of texts that only
+share a passage gives next to none.
 """
 
 from __future__ import annotations
@@ -18,13 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import materialize
+from weft.llm.common import materialize, shuffle_partitions
 from weft.llm.components import connected_components
 
 LEAST, BANDS, ROWS = 0.8, 20, 4
 #: Sets of a bucket that are compared at once, and random orders in which larger buckets are first compared.
 SMALL, ORDERS = 16, 3
 
+#: An allowance for the product's rounding: counts are whole numbers.
+EDGE = 1e-6
+#: Pairs of sets that a task looks at at once.
+PAIRS = 1 << 20
+
 _STEP = 1 << 12
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 63, BANDS * ROWS, np.uint64)
 _MIX = np.random.default_rng(18).integers(1, 1 << 63, ROWS, np.uint64) | np.uint64(1)
@@ -71,6 +85,66 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.drop("n").join(buckets, ["band", "key"])
 
 
+def _prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, n, at, s, root) come sorted by h and n: the pairs of sets under different roots that can have their first common shingle here."""
+    share = LEAST / (1 + LEAST)
+    held = [np.zeros(0, np.int64)] * 5
+
+    def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, n, at, s, root = cols
+        if not len(h):
+            return
+        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])) << 32
+        rest = n - at + EDGE
+        # the larger set follows the smaller, whose rest bounds its size
+        ends = np.searchsorted(group + n, group + np.floor(rest / share - n).astype(np.int64), "right")
+        size = np.maximum(ends - np.arange(len(n)) - 1, 0)
+        total = np.cumsum(size)
+        first = 0
+        while first < len(n):
+            stop = max(first + 1, int(np.searchsorted(total, total[first] - size[first] + PAIRS, "right")))
+            m = size[first:stop]
+            i = np.repeat(np.arange(first, stop), m)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+            near = (root[i] != root[j]) & (rest[j] >= share * (n[i] + n[j]))
+            i, j = i[near], j[near]
+            i, j = np.where(s[i] < s[j], i, j), np.where(s[i] < s[j], j, i)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (s[i], s[j], root[i], root[j])], ["s_1", "s_2", "part_1", "part_2"])
+            first = stop
+
+    for batch in batches:
+        cols = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+        # the last shingle may go on in the next batch
+        last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
+        held = [c[last:] for c in cols]
+        yield from done([c[:last] for c in cols])
+    yield from done(held)
+
+
+def _rest_pairs(rest: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(s_1, s_2, part_1, part_2): every pair of the sets of ``rest`` (s, root) under different roots that can reach ``LEAST``; parts are the roots."""
+    rows = materialize(rest.join(hashes, "s").select("s", "root", "hashes"), "rest")
+    each = rows.select("s", "root", F.explode("hashes").alias("h"))
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(F.col("h").alias("w"), "df")
+    held = each.join(common, F.col("h") == F.col("w")).groupBy(F.col("s").alias("of")).agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    n = F.size("hashes")
+    sized = rows.join(held, F.col("s") == F.col("of")).select("s", "root", n.alias("n"), (n - F.size("common")).alias("own"), "common")
+    can = sized.withColumn("left", (F.floor((1 - LEAST) * F.col("n") + EDGE) + 1 - F.col("own")).cast("int")).where("left > 0")
+    prefix = can.select("s", "root", "n", "own", F.posexplode(F.slice("common", F.lit(1), F.col("left"))).alias("k", "x"))
+    dealt = prefix.select(F.col("x.h").alias("h"), F.col("n").cast("long"), (F.col("own") + F.col("k")).cast("long").alias("at"), "s", "root")
+    dealt = dealt.repartition(shuffle_partitions(rest.sparkSession), "h").sortWithinPartitions("h", "n")
+    return dealt.mapInArrow(_prefix_pairs, "s_1 long, s_2 long, part_1 long, part_2 long")
+
+
+def _alike(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(u, v): the parts of those pairs whose whole shingle sets are alike."""
+    pairs = materialize(pairs.distinct(), "candidates")
+    a, b = (hashes.select(F.col("s").alias(f"s_{k}"), F.col("hashes").alias(f"x_{k}")) for k in (1, 2))
+    both, sizes = F.size(F.array_intersect("x_1", "x_2")), F.size("x_1") + F.size("x_2")
+    alike = pairs.join(a, "s_1").join(b, "s_2").where(both >= LEAST * (sizes - both) - EDGE)
+    return materialize(alike.select(F.col("part_1").alias("u"), F.col("part_2").alias("v")).distinct(), "alike")
+
+
 def jaccard_links(members: DataFrame, rooted: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
     """(u, v): verified links between the roots of ``rooted`` (fp, root), enough of them to connect what any links connect.
 
@@ -87,23 +161,18 @@ def jaccard_links(members: DataFrame, rooted: DataFrame, docs: DataFrame, text_c
     needed = sets.join(left.select("s").distinct(), "s", "left_semi").select("s", "text_hash")
     texts = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).join(needed, F.col("h") == F.col("text_hash")).dropDuplicates(["s"])
     hashes = materialize(texts.select("s", "t").mapInArrow(lambda it: _sets(it, words), "s long, hashes array<long>"), "shingles")
-    for order in range(ORDERS + 1):
+    for order in range(ORDERS):
         large = left.where(F.col("n") > SMALL)
-        if order == 0:
-            pairs = _all_pairs(left.where(F.col("n") <= SMALL)).union(_neighbours(large, order))
-        else:
-            pairs = _neighbours(left, order) if order < ORDERS else _all_pairs(left)
-        pairs = materialize(pairs.distinct(), "candidates")
-        a, b = (hashes.select(F.col("s").alias(f"s_{k}"), F.col("hashes").alias(f"x_{k}")) for k in (1, 2))
-        both, sizes = F.size(F.array_intersect("x_1", "x_2")), F.size("x_1") + F.size("x_2")
-        # an allowance for the product's rounding: counts are whole numbers
-        alike = pairs.join(a, "s_1").join(b, "s_2").where(both >= LEAST * (sizes - both) - 1e-6)
-        links = links.union(materialize(alike.select(F.col("part_1").alias("u"), F.col("part_2").alias("v")).distinct(), "alike"))
-        if order == ORDERS or large.isEmpty():
+        pairs = _neighbours(large, order)
+        new = _alike(pairs if order else _all_pairs(left.where(F.col("n") <= SMALL)).union(pairs), hashes)
+        links = links.union(new)
+        if large.isEmpty():
+            return links
+        if order and new.isEmpty():
             break
         roots = materialize(connected_components(links), "roots")
         again = large.drop("root").join(roots, large["part"] == roots["node"], "left").select("s", "part", "band", "key", F.coalesce("root", "part").alias("root"))
         left = materialize(_apart(again), "buckets")
         if left.isEmpty():
-            break
-    return links
+            return links
+    return links.union(_alike(_rest_pairs(left.select("s", "root").distinct(), hashes), hashes))
